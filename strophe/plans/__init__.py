@@ -1,4 +1,4 @@
 """Queries that bind the operators to the given tables."""
 
-from strophe.plans import sequence_queries, vector_queries  # noqa: F401
+from strophe.plans import feature_queries, ranking_queries, sequence_queries, vector_queries  # noqa: F401
 from strophe.plans.registry import ORACLES, QUERIES  # noqa: F401
