@@ -113,24 +113,28 @@ def _decibel(x: Column) -> Column:
     return 10 * F.log10(F.greatest(x, F.lit(TINY)))
 
 
+def _band_level(low: float, high: float, share: float) -> Column:
+    """Decibels between the loudest and the quietest bins of one band; null without bins."""
+    inside = F.array_sort(
+        F.transform(
+            F.filter(
+                F.arrays_zip("freq", "mag"), lambda z: (z["freq"] >= low) & (z["freq"] < high)
+            ),
+            lambda z: z["mag"],
+        )
+    )
+    k = F.greatest(F.round(F.size(inside) * share).cast("int"), F.lit(1))
+    quiet = mean_of(F.slice(inside, F.lit(1), k))
+    loud = mean_of(F.slice(inside, F.greatest(F.size(inside) - k + 1, F.lit(1)), k))
+    return F.when(F.size(inside) > 0, _decibel(loud) - _decibel(quiet))
+
+
 def _contrast(sample_rate: float, bands: int = 6, low: float = 200.0, share: float = 0.02) -> Column:
-    """Mean over octave bands of the level between the loudest and the quietest bins."""
+    """Mean level over octave bands from ``low`` Hz on and the band below."""
     edges = [0.0, *[low * 2**i for i in range(bands + 1)]]
-    levels = []
-    for a, b in zip(edges, edges[1:]):
-        if a >= sample_rate / 2:
-            break
-        inside = F.array_sort(
-            F.transform(
-                F.filter(F.arrays_zip("freq", "mag"),
-                         lambda z, a=a, b=b: (z["freq"] >= a) & (z["freq"] < b)),
-                lambda z: z["mag"],
-            )
-        )
-        k = F.greatest(F.round(F.size(inside) * share).cast("int"), F.lit(1))
-        quiet = mean_of(F.slice(inside, F.lit(1), k))
-        loud = mean_of(F.slice(inside, F.greatest(F.size(inside) - k + 1, F.lit(1)), k))
-        levels.append(F.when(F.size(inside) > 0, _decibel(loud) - _decibel(quiet)))
+    levels = [
+        _band_level(a, b, share) for a, b in zip(edges, edges[1:]) if a < sample_rate / 2
+    ]
     return mean_of(F.array_compact(F.array(*levels)))
 
 

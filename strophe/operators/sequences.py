@@ -159,14 +159,14 @@ def with_positions(seq: DataFrame) -> DataFrame:
     sizes = seq.groupBy(*CHUNK).agg(F.count("*").alias("size"))
     before = W.partitionBy(*SONG).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        *CHUNK, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")
+        *CHUNK, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_start")
     )
     local = F.row_number().over(W.partitionBy(*CHUNK).orderBy("ord")) - 1
     return (
-        seq.withColumn("local_pos", local)
+        seq.withColumn("_local", local)
         .join(offsets, CHUNK)
-        .withColumn("pos", F.col("offset") + F.col("local_pos"))
-        .drop("offset", "local_pos")
+        .withColumn("pos", F.col("_start") + F.col("_local"))
+        .drop("_start", "_local")
     )
 
 

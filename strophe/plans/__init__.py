@@ -1,4 +1,14 @@
 """Queries that bind the operators to the given tables."""
 
-from strophe.plans import feature_queries, ranking_queries, sequence_queries, vector_queries  # noqa: F401
+from strophe.plans import (  # noqa: F401
+    array_queries,
+    feature_queries,
+    model_queries,
+    pedigree_queries,
+    ranking_queries,
+    segment_queries,
+    sequence_queries,
+    stream_queries,
+    vector_queries,
+)
 from strophe.plans.registry import ORACLES, QUERIES  # noqa: F401

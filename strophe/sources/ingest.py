@@ -178,7 +178,7 @@ def filter_songs(segs: DataFrame, min_span_ms: float = 2000.0) -> DataFrame:
 def ingest_report(status: DataFrame) -> DataFrame:
     """Songs per subject and status."""
     return status.groupBy("subject").pivot("status", ["processed", "skipped", "failed"]).agg(
-        F.count("*")
+        F.count(F.lit(1))
     ).na.fill(0)
 
 

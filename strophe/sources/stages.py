@@ -20,6 +20,8 @@ PATH_MAP_SCHEMA = "name string, local_path string, server_path string"
 def write_stage(df: DataFrame, root: str, run: str, stage: str, overwrite: bool = False) -> None:
     """Store a stage by subject. Subjects already stored are left alone unless overwritten."""
     path = f"{root}/{run}/{stage}"
+    # rebalancing keeps the files of a subject few and splits a subject that is too large
+    df = df.hint("rebalance", "subject")
     writer = df.write.partitionBy("subject")
     if overwrite:
         writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
@@ -35,7 +37,7 @@ def write_stage(df: DataFrame, root: str, run: str, stage: str, overwrite: bool
         stored.withColumn("subject", F.col("subject").cast(dict(df.dtypes)["subject"])),
         "subject", "left_anti",
     )
-    fresh.write.partitionBy("subject").mode("append").parquet(path)
+    fresh.hint("rebalance", "subject").write.partitionBy("subject").mode("append").parquet(path)
 
 
 def read_stage(spark: SparkSession, root: str, run: str, stage: str) -> DataFrame:
