@@ -19,13 +19,31 @@ from strophe.functions.scalars import array_sum, ratio
 
 
 def mean_of(values: Column) -> Column:
-    return ratio(array_sum(values), F.size(values))
+    """Mean of an array in one pass over it."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+    return F.aggregate(
+        values,
+        start,
+        lambda acc, x: F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + x).alias("sum")),
+        lambda acc: ratio(acc["sum"], acc["n"]),
+    )
 
 
 def std_of(values: Column) -> Column:
-    """Population standard deviation of an array."""
-    m = mean_of(values)
-    return F.sqrt(mean_of(F.transform(values, lambda x: (x - m) * (x - m))))
+    """Population standard deviation of an array; the mean is taken once, not per element."""
+    start = F.struct(
+        F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("ss")
+    )
+
+    def add(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(
+            n.alias("n"), mean.alias("mean"),
+            (acc["ss"] + (x - acc["mean"]) * (x - mean)).alias("ss"),
+        )
+
+    return F.aggregate(values, start, add, lambda acc: F.sqrt(ratio(acc["ss"], acc["n"])))
 
 
 def percentile_of(values: Column, q: float, ordered: bool = False) -> Column:

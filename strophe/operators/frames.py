@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions.scalars import array_sum, ratio
 from strophe.operators.arrays import mean_of
+from strophe.session import spread_small
 
 TINY = 1e-10
 
@@ -65,7 +66,7 @@ def frame_power(df: DataFrame, nfft: int, hop: int, column: str = "samples", key
                     }
                 )
 
-    return df.select(key, column).mapInPandas(spectra, schema)
+    return spread_small(df.select(key, column), key).mapInPandas(spectra, schema)
 
 
 def magnitudes() -> Column:
@@ -168,8 +169,12 @@ def frame_measures(frames: DataFrame, nfft: int, sample_rate: float, key: str =
     n = F.size("samples")
     crossings = F.size(
         F.filter(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: (F.get("samples", i) < 0) != (F.get("samples", i - 1) < 0),
+            F.zip_with(
+                F.slice("samples", F.lit(1), n - 1),
+                F.slice("samples", F.lit(2), n - 1),
+                lambda a, b: (a < 0) != (b < 0),
+            ),
+            lambda crossed: crossed,
         )
     )
     before = F.lag("_level").over(W.partitionBy(key).orderBy("frame"))

@@ -202,18 +202,22 @@ def sizes(seq: DataFrame) -> DataFrame:
 
 
 def local_runs(seq: DataFrame) -> DataFrame:
-    """Runs inside one chunk; a run that goes on in the next chunk is still in two parts."""
+    """Runs inside one chunk, with the label before and after each in its chunk.
+
+    A run that goes on in the next chunk is still in two parts.
+    """
     w = W.partitionBy(*CHUNK).orderBy("ord")
     change = F.when(F.lag("label").over(w) != F.col("label"), 1).otherwise(0)
-    return (
+    runs = (
         seq.select(*CHUNK, "ord", "label", change.alias("change"))
         .withColumn("island", F.sum("change").over(w.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy(*CHUNK, "island")
         .agg(F.min("label").alias("label"), F.min("ord").alias("ord"), F.count("*").alias("length"))
     )
+    return with_neighbours(runs)
 
 
-def _with_neighbours(runs: DataFrame) -> DataFrame:
+def with_neighbours(runs: DataFrame) -> DataFrame:
     """Label before and after every run in its chunk; null marks the ends of the chunk."""
     w = W.partitionBy(*CHUNK).orderBy("ord")
     return runs.withColumns({"before": F.lag("label").over(w), "after": F.lead("label").over(w)})
@@ -243,7 +247,7 @@ def _edges(runs: DataFrame) -> DataFrame:
 
 def run_lengths(seq: DataFrame) -> DataFrame:
     """Maximal runs of one label: ``subject, song_id, chunk, ord, label, length``."""
-    runs = _with_neighbours(local_runs(seq))
+    runs = local_runs(seq)
     inner = runs.where(F.col("before").isNotNull() & F.col("after").isNotNull())
     joined = (
         _edges(runs)
@@ -268,7 +272,7 @@ def repeat_position(seq: DataFrame, noise: Sequence[str] = (NOISE,)) -> DataFram
     )
     upto = W.partitionBy(*SONG, "group").orderBy("chunk", "ord")
     carry = (
-        _edges(_with_neighbours(local_runs(seq)))
+        _edges(local_runs(seq))
         .withColumn("carry", F.sum("length").over(upto.rowsBetween(W.unboundedPreceding, 0))
                     - F.col("length"))
         .where(F.col("before").isNull() & (F.col("carry") > 0))
@@ -298,20 +302,25 @@ def _fact(kind: str, a: Column, b: Column, length: Column, n: Column) -> Column:
     )
 
 
-def sequence_facts(runs: DataFrame, pairs_only: bool = False) -> DataFrame:
+def sequence_facts(
+    runs: DataFrame, pairs_only: bool = False, stitch: bool = True
+) -> DataFrame:
     """Counts that every sequence measure is made of: ``subject, kind, a, b, length, n``.
 
     ``pair`` rows are transitions from ``a`` to ``b``, ``run`` rows maximal runs of ``a``. Expects
-    runs that are maximal inside their chunk. The size is bounded by the vocabulary.
+    runs that are maximal inside their chunk; with ``stitch=False`` runs are counted as they are.
+    The size is bounded by the vocabulary.
     """
-    runs = _with_neighbours(runs)
+    if "after" not in runs.columns:
+        runs = with_neighbours(runs)
     own, after, size = F.col("label"), F.col("after"), F.col("length")
     nothing, one = F.lit(None), F.lit(1)
+    whole = F.lit(True) if not stitch else F.col("before").isNotNull() & after.isNotNull()
     inner = F.array(
         F.when(size > 1, _fact("pair", own, own, nothing, size - 1)),
         F.when(after.isNotNull(), _fact("pair", own, after, nothing, one)),
         F.when(
-            F.lit(not pairs_only) & F.col("before").isNotNull() & after.isNotNull(),
+            F.lit(not pairs_only) & whole,
             _fact("run", own, nothing, size, one),
         ),
     )
@@ -326,7 +335,7 @@ def sequence_facts(runs: DataFrame, pairs_only: bool = False) -> DataFrame:
     parts = runs.select("subject", F.explode(F.array_compact(inner)).alias("f")).unionByName(
         edges.select("subject", F.explode(F.array_compact(outer)).alias("f"))
     )
-    if not pairs_only:
+    if stitch and not pairs_only:
         joined = edges.groupBy(*SONG, "group").agg(
             F.min("label").alias("label"), F.sum("length").alias("length")
         )

@@ -133,32 +133,46 @@ def parse_timestamp(df: DataFrame, column: str, date_format: str = "ddMMyy") ->
     if date_format not in ("ddMMyy", "yyMMdd"):
         raise ValueError("date_format is 'ddMMyy' or 'yyMMdd'")
     name = F.col(column)
-    options = []
-    for pattern, date_group, time_group in TIMESTAMPS:
-        date = F.regexp_extract(name, pattern, date_group)
-        clock = F.regexp_extract(name, pattern, time_group)
-        long = F.length(date) == 8
-        first, middle, last = (F.substring(date, i, 2) for i in (1, 3, 5))
-        century = F.when(
-            (last if date_format == "ddMMyy" else first).cast("int") < 69, "20"
-        ).otherwise("19")
-        short = (
-            F.concat_ws("-", F.concat(century, last), middle, first)
-            if date_format == "ddMMyy"
-            else F.concat_ws("-", F.concat(century, first), middle, last)
+    found = [
+        F.struct(
+            F.regexp_extract(name, pattern, date_group).alias("date"),
+            F.regexp_extract(name, pattern, time_group).alias("clock"),
         )
-        text = F.when(
-            long,
-            F.concat_ws("-", F.substring(date, 1, 4), F.substring(date, 5, 2),
-                        F.substring(date, 7, 2)),
-        ).otherwise(short)
-        day = F.try_to_date(text, "yyyy-MM-dd")
-        known = F.year(day).between(1900, F.year(F.current_date()))
-        day = F.when(~long | known, day)
-        hour, minute, second = (F.substring(clock, i, 2).cast("int") for i in (1, 3, 5))
-        moment = F.make_timestamp_ntz(
-            F.year(day), F.month(day), F.dayofmonth(day), F.pmod(hour, F.lit(24)),
-            F.pmod(minute, F.lit(60)), F.pmod(second, F.lit(60)).cast("decimal(8,6)"),
+        for pattern, date_group, time_group in TIMESTAMPS
+    ]
+
+    def day_of(date: Column) -> Column:
+        first, middle, last = (F.substring(date, i, 2) for i in (1, 3, 5))
+        year = last if date_format == "ddMMyy" else first
+        century = F.when(year < "69", "20").otherwise("19")
+        ends = [F.concat(century, last), middle, first]
+        if date_format == "yyMMdd":
+            ends = [F.concat(century, first), middle, last]
+        long = F.concat_ws(
+            "-", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2)
         )
-        options.append(F.when(name.rlike(pattern), moment))
-    return df.withColumn("recorded_at", F.coalesce(*options))
+        text = F.when(F.length(date) == 8, long).otherwise(F.concat_ws("-", *ends))
+        return F.try_to_date(text, "yyyy-MM-dd")
+
+    # each pattern is matched once; the dates are only worked out for the matches
+    matched = F.filter(F.array(*found), lambda m: m["date"] != "")
+    dated = F.transform(
+        matched,
+        lambda m: F.struct(
+            day_of(m["date"]).alias("day"), (F.length(m["date"]) == 8).alias("long"), m["clock"]
+            .alias("clock"),
+        ),
+    )
+    known = F.filter(
+        dated,
+        lambda m: m["day"].isNotNull()
+        & (~m["long"] | F.year(m["day"]).between(1900, F.year(F.current_date()))),
+    )
+    df = df.withColumn("_m", F.get(known, F.lit(0)))
+    hour, minute, second = (F.substring("_m.clock", i, 2).cast("int") for i in (1, 3, 5))
+    day = F.col("_m.day")
+    moment = F.make_timestamp_ntz(
+        F.year(day), F.month(day), F.dayofmonth(day), F.pmod(hour, F.lit(24)),
+        F.pmod(minute, F.lit(60)), F.pmod(second, F.lit(60)).cast("decimal(8,6)"),
+    )
+    return df.withColumn("recorded_at", F.when(day.isNotNull(), moment)).drop("_m")
