@@ -17,13 +17,18 @@ from strophe.functions.scalars import ratio
 BINS = 4096
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """The columns of a one-row table beside every row, as a scalar subquery and not as a join."""
+    row = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
+
+
 def with_totals(df: DataFrame, by: Sequence[str], **aggs) -> DataFrame:
     """Add aggregates of the group to every row without ordering or collecting the group."""
     columns = [expr.alias(name) for name, expr in aggs.items()]
     if by:
         return df.join(df.groupBy(*by).agg(*columns), list(by))
-    one = df.agg(*columns).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    return beside(df, df.agg(*columns))
 
 
 def _binned(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -98,3 +103,31 @@ def exact_quantiles(
         part = F.max(spot - F.floor(spot))
         columns.append((low + (high - low) * part).alias(name))
     return sized.groupBy(*by).agg(*columns) if by else sized.agg(*columns)
+
+
+def numbered(
+    df: DataFrame, by: Sequence[str], key: str, order: Sequence, name: str, bins: int = BINS
+) -> DataFrame:
+    """Add the 0-based place of every row in its group, without ordering a group in one task.
+
+    Rows are put in equal-width bins of the numeric ``key`` (null keys last) and ordered by
+    ``order``, of which ``key`` must be the first part, inside a bin.
+    """
+    by = list(by)
+    spans = with_totals(df, by, _lo=F.min(key), _hi=F.max(key))
+    place = F.floor(ratio((F.col(key) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo") + 1))
+    binned = spans.withColumn(
+        "_bin", F.when(F.col(key).isNull(), bins).otherwise(F.coalesce(place, F.lit(0)))
+    ).drop("_lo", "_hi")
+    totals = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(
+        *by, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    inside = F.row_number().over(W.partitionBy(*by, "_bin").orderBy(*order)) - 1
+    return (
+        binned.withColumn("_r", inside)
+        .join(totals, [*by, "_bin"])
+        .withColumn(name, F.col("_start") + F.col("_r"))
+        .drop("_bin", "_r", "_start")
+    )

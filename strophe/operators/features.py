@@ -13,10 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strophe.functions.distributed import exact_quantiles, with_totals
+from strophe.functions.distributed import beside, exact_quantiles, numbered, with_totals
 from strophe.functions.scalars import array_sum, ratio
 from strophe.functions.tails import f_tail
 from strophe.operators.scores import ari, nmi
+from strophe.operators.vectors import hash_order
 from strophe.params import NOISE
 
 # fixed values: effect sizes from which a share of variance counts as large, medium, small
@@ -259,12 +260,8 @@ def top_methods_report(df: DataFrame, features: Sequence[str], manual: str,
         versus = compare_separation(df, features, manual, method).agg(
             F.avg("relative_quality").alias("relative_quality")
         )
-        row = with_totals(
-            own.select(F.lit(rank).alias("rank"), F.lit(method).alias("method"), "*"), [],
-            clusters=F.lit(None).cast("int"),
-        ).drop("clusters").withColumn("_j", F.lit(1)).join(
-            F.broadcast(versus.withColumn("_j", F.lit(1))), "_j"
-        ).drop("_j")
+        named = own.select(F.lit(rank).alias("rank"), F.lit(method).alias("method"), "*")
+        row = beside(named, versus)
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -396,22 +393,29 @@ def cluster_profile(df: DataFrame, features: Sequence[str], label: str = "label"
 
 
 def profile_distance(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Euclidean distance between the mean vectors of two labels; labels, not rows, are paired."""
+    """Euclidean distance between the mean vectors of two labels.
+
+    The profile of a group is one row per label and feature; each label is laid beside the list of
+    all labels of its group.
+    """
     means = profile.groupBy(*by, "label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("feature", "mean"))),
                     lambda s: s["mean"]).alias("v"),
         F.min(F.col("mean").isNotNull()).alias("whole"),
     ).where("whole")
-    left = means.select(*by, F.col("label").alias("label1"), F.col("v").alias("v1"))
-    right = means.select(*by, F.col("label").alias("label2"), F.col("v").alias("v2"))
-    keys = list(by) or ["_one"]
-    if not by:
-        left, right = left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1))
+    listed = F.collect_list(F.struct(F.col("label").alias("label2"), F.col("v").alias("v2")))
+    frame = means.groupBy(*by).agg(
+        listed.alias("_to"),
+        F.collect_list(F.struct(F.col("label").alias("label1"), F.col("v").alias("v1"))).alias(
+            "_from"
+        ),
+    )
+    pairs = frame.select(*by, "_to", F.inline("_from")).select(
+        *by, "label1", "v1", F.inline("_to")
+    )
     squares = F.zip_with("v1", "v2", lambda a, b: (a - b) * (a - b))
-    return (
-        left.join(right, keys)
-        .where(F.col("label1") < F.col("label2"))
-        .select(*by, "label1", "label2", F.sqrt(array_sum(squares)).alias("distance"))
+    return pairs.where(F.col("label1") < F.col("label2")).select(
+        *by, "label1", "label2", F.sqrt(array_sum(squares)).alias("distance")
     )
 
 
@@ -515,14 +519,10 @@ def compare_manual_auto(df: DataFrame, features: Sequence[str], manual: str,
         {
             "ratio": ratio("f_auto", "f_manual"),
             "manual_better": F.col("f_manual") > F.col("f_auto"),
-            "_one": F.lit(1),
         }
     )
-    one = rows.withColumn("_one", F.lit(1))
-    agreement = ari(one, ["_one"], manual, auto).join(
-        nmi(one, ["_one"], manual, auto, ignored="\0"), "_one"
-    )
-    return joined.join(F.broadcast(agreement), "_one").drop("_one")
+    agreement = ari(rows, [], manual, auto)
+    return beside(beside(joined, agreement), nmi(rows, [], manual, auto, ignored="\0"))
 
 
 def compare_subjects(df: DataFrame, feature: str, label: str = "label",
@@ -564,8 +564,6 @@ def sample_per_cluster(df: DataFrame, n: int, strategy: str = "random", key: str
     random members of the middle half. Members are numbered over bins of a hash or of the key, so
     no task orders a whole cluster.
     """
-    from strophe.operators.vectors import hash_order
-
     rows = df.where(F.col(label).cast("string") != NOISE)
     sized = with_totals(rows, [label], _size=F.count("*")).where(F.col("_size") >= min_size)
     order = hash_order(F.col(key), seed)
@@ -574,39 +572,22 @@ def sample_per_cluster(df: DataFrame, n: int, strategy: str = "random", key: str
         return sized.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop(
             "_i", "_size"
         )
-    numbered = _numbered(sized, label, key)
+    placed = numbered(sized, [label], key, [key], "_i", 1024)
     i, size = F.col("_i"), F.col("_size")
     if strategy == "spread":
         step = F.greatest(F.floor(size / F.lit(n)), F.lit(1))
         keep = F.when(size <= n, F.lit(True)).otherwise(
             (F.pmod(i, step) == 0) & (F.floor(i / step) < n)
         )
-        return numbered.where(keep).drop("_i", "_size")
+        return placed.where(keep).drop("_i", "_size")
     if strategy != "representative":
         raise ValueError("strategy is 'random', 'spread' or 'representative'")
     ends = n // 3
     is_end = (i < ends) | (i >= size - ends) | (size <= n)
     in_middle = (i >= F.floor(size / 4)) & (i < F.floor(3 * size / 4)) & (size > n)
     w = W.partitionBy(label).orderBy(order)
-    middle = numbered.where(in_middle).withColumn("_m", F.row_number().over(w))
+    middle = placed.where(in_middle).withColumn("_m", F.row_number().over(w))
     middle = middle.where(F.col("_m") <= n - 2 * ends).drop("_m")
-    return numbered.where(is_end).unionByName(middle).dropDuplicates([label, key]).drop(
+    return placed.where(is_end).unionByName(middle).dropDuplicates([label, key]).drop(
         "_i", "_size"
     )
-
-
-def _numbered(df: DataFrame, label: str, key: str, bins: int = 1024) -> DataFrame:
-    """0-based number ``_i`` of every row in its label by ``key``, counted bin by bin."""
-    spans = with_totals(df, [label], _lo=F.min(key), _hi=F.max(key))
-    place = F.floor(ratio((F.col(key) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo") + 1))
-    binned = spans.withColumn("_bin", F.coalesce(place, F.lit(0))).drop("_lo", "_hi")
-    totals = binned.groupBy(label, "_bin").agg(F.count("*").alias("_bn"))
-    before = W.partitionBy(label).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(label, "_bin", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(W.partitionBy(label, "_bin").orderBy(key)) - 1
-    return (
-        binned.withColumn("_r", inside)
-        .join(totals, [label, "_bin"])
-        .withColumn("_i", F.col("_o") + F.col("_r"))
-        .drop("_bin", "_r", "_o")
-    )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.functions.distributed import beside
 from strophe.functions.scalars import array_sum, ratio
 from strophe.operators.arrays import mean_of
 from strophe.session import spread_small
@@ -238,11 +239,10 @@ def dct_weights(n_out: int, n_in: int) -> np.ndarray:
 
 
 def _beside(df: DataFrame, **matrices: np.ndarray) -> DataFrame:
-    """Constant matrices carried beside every row through a one-row broadcast."""
-    schema = "_one int, " + ", ".join(f"{n} array<array<double>>" for n in matrices)
-    row = [(1, *[m.tolist() for m in matrices.values()])]
-    constants = df.sparkSession.createDataFrame(row, schema)
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(constants), "_one").drop("_one")
+    """Constant matrices carried beside every row."""
+    schema = ", ".join(f"{n} array<array<double>>" for n in matrices)
+    row = [tuple(m.tolist() for m in matrices.values())]
+    return beside(df, df.sparkSession.createDataFrame(row, schema))
 
 
 def _times(matrix: str, vector: Column) -> Column:

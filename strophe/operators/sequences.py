@@ -115,40 +115,53 @@ def split_songs(tokens: DataFrame) -> DataFrame:
     """Rows of complete start-to-end spans only, numbered by the start that opened them.
 
     Expects ``subject, chunk, ord, label`` with start and end tokens inside the stream. A span is
-    complete if the first token after its start is an end, so only tokens are ordered per subject.
+    complete if the first token after its start is an end. Tokens are ordered inside chunks; one row
+    per chunk tells which token comes before and after it.
     """
-    token_rows = tokens.where(F.col("label").isin(START, END))
-    w = W.partitionBy("subject").orderBy("ord")
-    spans = (
-        token_rows.select("subject", "ord", "label", F.lead("label").over(w).alias("next_label"),
-                          F.lead("ord").over(w).alias("until"))
-        .where((F.col("label") == START) & (F.col("next_label") == END))
-        .select("subject", F.col("ord").alias("since"), "until",
-                F.row_number().over(W.partitionBy("subject").orderBy("ord")).alias("song_no"))
-    )
-    # the last token at or before a row decides the span it may lie in
-    per_chunk = token_rows.groupBy("subject", "chunk").agg(F.max("ord").alias("last_token"))
+    part = ["subject", "chunk"]
+    is_token = F.col("label").isin(START, END)
+    token_rows = tokens.where(is_token)
+    by_chunk = W.partitionBy("subject").orderBy("chunk")
+    earlier = by_chunk.rowsBetween(W.unboundedPreceding, -1)
+    later = by_chunk.rowsBetween(1, W.unboundedFollowing)
     chunks = (
-        tokens.select("subject", "chunk").distinct().join(per_chunk, ["subject", "chunk"], "left")
-        .withColumn(
-            "token_before",
-            F.max("last_token").over(
-                W.partitionBy("subject").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-            ),
+        tokens.groupBy(*part)
+        .agg(
+            F.max(F.when(is_token, F.col("ord"))).alias("last_token"),
+            F.min(F.when(is_token, F.struct("ord", "label"))).alias("first_token"),
+        )
+        .select(
+            *part,
+            F.max("last_token").over(earlier).alias("token_before"),
+            F.first("first_token", ignorenulls=True).over(later).alias("token_after"),
         )
-        .select("subject", "chunk", "token_before")
     )
-    inside = W.partitionBy("subject", "chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        tokens.join(chunks, ["subject", "chunk"])
+    in_chunk = W.partitionBy(*part).orderBy("ord")
+    starts = (
+        token_rows.withColumn("next_token", F.lead("label").over(in_chunk))
+        .join(chunks, part)
+        .where(
+            (F.col("label") == START)
+            & (F.coalesce("next_token", "token_after.label") == END)
+        )
+        .select(*part, F.col("ord").alias("since"))
+    )
+    count = starts.groupBy(*part).agg(F.count("*").alias("n"))
+    done = count.select(*part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("done"))
+    spans = (
+        starts.join(done, part)
         .withColumn(
-            "since",
-            F.coalesce(
-                F.max(F.when(F.col("label").isin(START, END), F.col("ord"))).over(inside),
-                F.col("token_before"),
-            ),
+            "song_no",
+            F.col("done") + F.row_number().over(W.partitionBy(*part).orderBy("since")),
         )
-        .where(~F.col("label").isin(START, END))
+        .select("subject", "since", "song_no")
+    )
+    upto = in_chunk.rowsBetween(W.unboundedPreceding, 0)
+    since = F.coalesce(F.max(F.when(is_token, F.col("ord"))).over(upto), F.col("token_before"))
+    return (
+        tokens.join(chunks.select(*part, "token_before"), part)
+        .withColumn("since", since)
+        .where(~is_token)
         .join(spans, ["subject", "since"])
         .select("subject", "song_no", "ord", "label")
     )

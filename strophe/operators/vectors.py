@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.functions.distributed import beside
+from strophe.session import cut_lineage
+
 BLOCK_ROWS = 4096
 TILE_ROWS = 512
 
@@ -43,20 +46,19 @@ def subsample_rows(
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def subsample_by_song(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def subsample_by_song(
+    df: DataFrame, n: int, seed: int = 42, songs_per_round: int = 10_000
+) -> DataFrame:
     """Whole songs in random order while they fit into ``n`` rows, at least one per subject.
 
-    A song that would exceed ``n`` is passed over. The walk runs over (song, size) pairs of one
-    subject, never over rows.
+    A song that would exceed ``n`` is passed over. The walk looks at (song, size) pairs only, at
+    most ``songs_per_round`` of a subject at a time, and goes on where it stopped until the sample
+    is full or no song is left that fits.
     """
-    songs = df.groupBy("subject", "song_id").agg(F.count("*").alias("n"))
-    listed = songs.groupBy("subject").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(hash_order(F.col("song_id"), seed).alias("h"), "song_id", "n")
-            )
-        ).alias("songs"),
-        F.sum("n").alias("total"),
+    sizes = df.groupBy("subject", "song_id").agg(F.count("*").alias("n"))
+    totals = sizes.groupBy("subject").agg(F.sum("n").alias("all_rows"))
+    songs = cut_lineage(
+        sizes.join(totals, "subject").withColumn("h", hash_order(F.col("song_id"), seed)), "songs"
     )
 
     def walk(acc: Column, song: Column) -> Column:
@@ -69,18 +71,37 @@ def subsample_by_song(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
             .alias("kept"),
         )
 
-    empty = F.struct(
-        F.lit(0).cast("long").alias("total"), F.array().cast("array<string>").alias("kept")
+    kept = songs.where(F.col("all_rows") <= n).select("subject", "song_id")
+    state = totals.where(F.col("all_rows") > n).select(
+        "subject", F.lit(0).cast("long").alias("total"), F.lit("").alias("seen")
     )
-    kept = listed.select(
-        "subject",
-        F.explode(
-            F.when(
-                F.col("total") <= n, F.transform("songs", lambda s: s["song_id"])
-            ).otherwise(F.aggregate("songs", empty, walk, lambda acc: acc["kept"]))
-        ).alias("song_id"),
-    )
-    return df.join(kept, ["subject", "song_id"], "left_semi")
+    first = W.partitionBy("subject").orderBy("h", "song_id")
+    while True:
+        ahead = songs.join(state, "subject").where(
+            (F.concat("h", "song_id") > F.col("seen"))
+            & ((F.col("total") == 0) | (F.col("total") + F.col("n") <= n))
+        )
+        ahead = ahead.withColumn("_r", F.row_number().over(first)).where(
+            F.col("_r") <= songs_per_round
+        )
+        start = F.struct(
+            F.max("total").alias("total"), F.array().cast("array<string>").alias("kept")
+        )
+        listed = F.array_sort(F.collect_list(F.struct("h", "song_id", "n")))
+        step = cut_lineage(
+            ahead.groupBy("subject").agg(
+                F.aggregate(listed, start, walk).alias("w"),
+                F.max(F.concat("h", "song_id")).alias("seen"),
+                F.count("*").alias("looked_at"),
+            ),
+            "walk",
+        )
+        kept = kept.unionByName(step.select("subject", F.explode("w.kept").alias("song_id")))
+        state = step.where(
+            (F.col("looked_at") == songs_per_round) & (F.col("w.total") < n)
+        ).select("subject", F.col("w.total").alias("total"), "seen")
+        if state.isEmpty():
+            return df.join(kept, ["subject", "song_id"], "left_semi")
 
 
 def blocks(points: DataFrame, by: Sequence[str], key: str, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -91,9 +112,7 @@ def blocks(points: DataFrame, by: Sequence[str], key: str, rows: int = BLOCK_ROW
     more tasks, not larger ones, and no pair of rows is ever written out.
     """
     total = points.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(rows)).alias("_blocks"))
-    placed = points.join(total, list(by)) if by else points.withColumn("_k", F.lit(1)).join(
-        F.broadcast(total.withColumn("_k", F.lit(1))), "_k"
-    ).drop("_k")
+    placed = points.join(total, list(by)) if by else beside(points, total)
     own = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
     placed = placed.withColumn("_b", own)
     left = F.transform(

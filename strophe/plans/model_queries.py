@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strophe.functions.distributed import beside
 from strophe.operators import features as X
 from strophe.operators import models as M
 from strophe.plans.feature_queries import FEATURES, lines
@@ -29,11 +30,9 @@ def pca_report(spark, sf_dir):
 @query("lda_report")
 def lda_report(spark, sf_dir):
     coefficients, tests, accuracy = M.lda_report(keyed(spark, sf_dir), FEATURES)
-    one = accuracy.agg(F.avg("accuracy").alias("accuracy")).withColumn("_j", F.lit(1))
     tested = tests.select(F.col("feature").alias("discriminant"), "f_statistic")
-    return coefficients.join(tested, "discriminant").withColumn("_j", F.lit(1)).join(
-        F.broadcast(one), "_j"
-    ).drop("_j")
+    joined = coefficients.join(tested, "discriminant")
+    return beside(joined, accuracy.agg(F.avg("accuracy").alias("accuracy")))
 
 
 @query("forest_report")

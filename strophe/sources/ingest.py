@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.functions.distributed import numbered
 from strophe.operators.vectors import hash_order
 from strophe.sources.names import base_name, file_name, normalize_subject
 
@@ -87,9 +88,13 @@ def order_songs(df: DataFrame, first: int | None = None, by: Sequence[str] = ("s
 
     With ``first`` only that many songs of every subject are kept.
     """
-    w = W.partitionBy(*by).orderBy(F.col("recorded_at").asc_nulls_last(), "song_id")
-    out = df.withColumn("song_no", F.row_number().over(w))
-    return out if first is None else out.where(F.col("song_no") <= first)
+    order = [F.col("recorded_at").asc_nulls_last(), F.col("song_id")]
+    if first is not None:
+        w = W.partitionBy(*by).orderBy(*order)
+        return df.withColumn("song_no", F.row_number().over(w)).where(F.col("song_no") <= first)
+    timed = df.withColumn("_at", F.unix_micros(F.col("recorded_at").cast("timestamp")))
+    out = numbered(timed, by, "_at", order, "song_no")
+    return out.withColumn("song_no", F.col("song_no") + 1).drop("_at")
 
 
 def pair_files(annotations: DataFrame, audio: DataFrame) -> DataFrame:
