@@ -431,7 +431,8 @@ def variation(df: DataFrame, features: Sequence[str], label: str = "label") -> D
 def top_discriminative(profile: DataFrame, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """The ``n`` features of every label that lie farthest from the others, with ``rank``."""
     w = W.partitionBy(*by, "label").orderBy(F.abs("z").desc(), "feature")
-    return profile.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    ranked = profile.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 def discriminative_spread(df: DataFrame, top: DataFrame, features: Sequence[str],

@@ -84,7 +84,8 @@ def best_params(
     """The first ``top_n`` rows of every group by composite score or one metric, with ``rank``."""
     name = "composite_score" if method == "composite" else method
     w = W.partitionBy(*by).orderBy(_direction(name), "param_id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    ranked = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 def metric_ranks(

@@ -465,11 +465,11 @@ def order_labels(positions: DataFrame | None, vocab: DataFrame, by: str = "posit
     """Rank of every label: mean position in song, unknown last, or the alphabet."""
     if by == "alphabet" or positions is None:
         w = W.partitionBy("subject").orderBy("label")
-        return vocab.select("subject", "label", F.row_number().over(w).alias("label_rank"))
+        return vocab.select("subject", "label", F.row_number().over(w).cast("long").alias("label_rank"))
     means = positions.groupBy("subject", "label").agg(F.avg("pos").alias("mean_pos"))
     joined = vocab.select("subject", "label").join(means, ["subject", "label"], "left")
     w = W.partitionBy("subject").orderBy(F.col("mean_pos").asc_nulls_last(), "label")
-    return joined.withColumn("label_rank", F.row_number().over(w))
+    return joined.withColumn("label_rank", F.row_number().over(w).cast("long"))
 
 
 def entropy(probs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def load_vectors(df: DataFrame) -> DataFrame:
     """Add the index of every song among the songs of its subject, in name order."""
     songs = df.select("subject", "song_id").distinct()
     w = W.partitionBy("subject").orderBy("song_id")
-    index = songs.withColumn("song_index", F.row_number().over(w) - 1)
+    index = songs.withColumn("song_index", (F.row_number().over(w) - 1).cast("long"))
     return df.join(index, ["subject", "song_id"])
 
 
@@ -200,7 +200,8 @@ def knn(
     pairs = blocks(points.select(*by, "id", "vec"), by, "id", block_rows)
     found = pairs.groupBy(*by, "bi", "bj").applyInPandas(of_pair, schema)
     rank = F.row_number().over(W.partitionBy(*by, "id").orderBy("distance", "neighbor"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    nearest = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return nearest.withColumn("rank", F.col("rank").cast("long"))
 
 
 def embed_pca(vecs: DataFrame, k: int = 2, scale: bool = False) -> DataFrame:

@@ -91,7 +91,8 @@ def order_songs(df: DataFrame, first: int | None = None, by: Sequence[str] = ("s
     order = [F.col("recorded_at").asc_nulls_last(), F.col("song_id")]
     if first is not None:
         w = W.partitionBy(*by).orderBy(*order)
-        return df.withColumn("song_no", F.row_number().over(w)).where(F.col("song_no") <= first)
+        ranked = df.withColumn("song_no", F.row_number().over(w)).where(F.col("song_no") <= first)
+        return ranked.withColumn("song_no", F.col("song_no").cast("long"))
     timed = df.withColumn("_at", F.unix_micros(F.col("recorded_at").cast("timestamp")))
     out = numbered(timed, by, "_at", order, "song_no")
     return out.withColumn("song_no", F.col("song_no") + 1).drop("_at")
