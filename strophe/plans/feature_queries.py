@@ -339,18 +339,27 @@ def significance_summary(spark, sf_dir):
 
 @query(
     "effect_bands",
-    sql(LINES_SQL, moments_sql("mo", "label", "subject"), anova_sql("an", "mo", "subject"),
-        """SELECT subject, feature, CASE WHEN eta_squared >= 0.0005 THEN 'seen' ELSE 'none' END
-           AS seen, 'negligible' AS effect FROM an"""),
+    sql(FDR_SQL, """SELECT subject, feature, CASE WHEN p_value >= 0.14 THEN 'large'
+          WHEN p_value >= 0.06 THEN 'medium' WHEN p_value >= 0.01 THEN 'small'
+          ELSE 'negligible' END AS effect FROM p"""),
 )
 def effect_bands(spark, sf_dir):
-    out = X.anova(lines(spark, sf_dir), FEATURES, by=["subject"], p_values=False)
-    seen = F.when(F.col("eta_squared") >= 0.0005, "seen").otherwise("none")
-    return out.select(
-        "subject", "feature", seen.alias("seen"), X.effect_band(F.col("eta_squared")).alias("effect")
+    return test_values(spark, sf_dir).select(
+        "subject", "feature", X.effect_band(F.col("p_value")).alias("effect")
     )
 
 
+@query(
+    "anova_by_subject",
+    sql(LINES_SQL, moments_sql("mo", "label", "subject"), anova_sql("an", "mo", "subject"),
+        f"SELECT subject, feature, n, n_labels, {r6('f_statistic')} FROM an"),
+)
+def anova_by_subject(spark, sf_dir):
+    out = X.anova(lines(spark, sf_dir), FEATURES, by=["subject"], p_values=False)
+    return round_all(out.select("subject", "feature", "n", "n_labels", "f_statistic"),
+                     ["f_statistic"])
+
+
 @query(
     "means_standardized",
     sql(LINES_SQL, moments_sql("mo", "label"), f"""SELECT label, feature, {r6('mean')},
