@@ -138,3 +138,11 @@ def test_song_sampling_takes_at_least_one(spark):
     assert V.subsample_by_song(df, 20).count() == 50
     assert V.subsample_by_song(df, 100).count() == 100
     assert V.subsample_by_song(df, 1000).count() == 150
+
+
+def test_kmeans_finds_far_groups(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.1, (20, 2)) for c in (0, 5, 10)])
+    found = {r.id: r.cluster for r in C.cluster_kmeans(points(spark, x), 3).collect()}
+    groups = [{found[i] for i in range(k, k + 20)} for k in (0, 20, 40)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
