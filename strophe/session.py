@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,6 +49,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of every executor import this package; once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-")  # the driver serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = os.path.join(folder, "strophe")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(package), "strophe")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
