@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,24 +65,6 @@ def curve_keys(ids: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
     return hilbert_key(np.minimum(place * (1 << BITS), (1 << BITS) - 1))
 
 
-def _with_keys(tokens: DataFrame) -> DataFrame:
-    directions = projection()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = []
-            for lo in range(0, batch.num_rows, 512):
-                ids = batch.column("ids").slice(lo, 512)
-                keys.append(
-                    curve_keys([np.frombuffer(i.as_buffer(), "<u2") for i in ids], directions)
-                )
-            yield batch.append_column("key", pa.array(np.concatenate(keys), pa.int64()))
-
-    return tokens.mapInArrow(add, "doc_id long, tie long, n_tokens long, ids binary, key long")
-
-
 def _pieces(starts: np.ndarray, sizes: np.ndarray, total: int, length: int):
     """Cut documents at sequence borders: document index, start, length, sequence, offset.
 
@@ -133,9 +113,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, spaces: bool = T
     tie-break, so no task gets more than its share. The driver sees cut points and bucket totals.
     """
     spark = docs.sparkSession
-    tokens = write_tokens(
-        _with_keys(tokenized(docs, tokenizer, spaces)), scratch_path(spark, "tokens")
-    )
+    directions = projection()
+    coded = tokenized(docs, tokenizer, spaces, lambda ids: curve_keys(ids, directions))
+    tokens = write_tokens(coded, scratch_path(spark, "tokens"))
     tie = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << TIE_BITS))
     placed = tokens.withColumn("at", F.shiftleft("key", TIE_BITS) + tie)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

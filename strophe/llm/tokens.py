@@ -92,7 +92,7 @@ class PieceEncoder:
     it) or drops it and ignores case.
     """
 
-    def __init__(self, path: str, spaces: bool, limit: int = 900_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.spaces = spaces
