@@ -92,7 +92,7 @@ class PieceEncoder:
     it) or drops it and ignores case.
     """
 
-    def __init__(self, path: str, spaces: bool, limit: int = 500_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 750_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.spaces = spaces
@@ -112,6 +112,8 @@ class PieceEncoder:
         return array(self.typecode, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _bare(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return array(self.typecode, [t.id for t in self.model.tokenize(piece)]).tobytes()
         if not _is_latin(piece) or "<|" in piece:
             return self._library(piece)
         cut = _CUT_BARE.findall(piece)
@@ -121,6 +123,9 @@ class PieceEncoder:
 
     def _spaced(self, piece: str) -> bytes:
         """A leading NUL stands for 'no space before'; without it and without a line end, one is."""
+        if piece.isascii() and piece.isalpha():
+            tokens = self.model.tokenize(_STAND_INS[32] + piece)
+            return array(self.typecode, [t.id for t in tokens]).tobytes()
         full = piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
         if not _is_latin(full) or "<|" in full:
             return self._library(full)
