@@ -129,67 +129,86 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-SKETCH = "doc_id long, tie long, node long, n_shingles long, signatures array<long>"
+SKETCH = "doc_id long, tie long, node long, n_shingles long, parity binary"
 
 
-def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Name, size and signatures of the shingle set of every row; repeats in a slice emit none."""
+def _first(node: np.ndarray) -> np.ndarray:
+    """True at the first row of every name."""
+    out = np.zeros(len(node), bool)
+    out[np.unique(node, return_index=True)[1]] = True
+    return out
+
+
+def sketch(docs: DataFrame, width: int) -> DataFrame:
+    """Name, size and parity sketch of the shingle set of every row; repeats in a slice have none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _slices(batch.column("text")):
                 sets, counts = shingle_sets(texts, width)
                 node = _nodes(sets, counts)
-                _, firsts = np.unique(node, return_index=True)
-                alone = np.zeros(len(counts), bool)
-                alone[firsts] = True
-                values, n = _signatures(sets[np.repeat(alone, counts)], counts[alone], num, den)
-                emitted = np.zeros(len(counts), np.int64)
-                emitted[alone] = n
+                begin = np.cumsum(counts) - counts
+                wanted = _first(node) & (counts > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, len(texts)),
                         batch.column("tie").slice(start, len(texts)),
                         pa.array(node.view(np.int64), mask=counts == 0),
                         pa.array(counts, pa.int64()),
-                        _lists(values, emitted),
+                        pa.array(
+                            [
+                                parity(sets[b : b + n]) if w else None
+                                for b, n, w in zip(begin, counts, wanted, strict=True)
+                            ],
+                            pa.binary(),
+                        ),
                     ],
-                    names=["doc_id", "tie", "node", "n_shingles", "signatures"],
+                    names=["doc_id", "tie", "node", "n_shingles", "parity"],
                 )
 
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(work, SKETCH)
 
 
+def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(signature, node) of every row of ``docs``; repeats in a slice emit none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _slices(batch.column("text")):
+                sets, counts = shingle_sets(texts, width)
+                node = _nodes(sets, counts)
+                alone = _first(node) & (counts > 0)
+                values, n = _signatures(sets[np.repeat(alone, counts)], counts[alone], num, den)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(values.view(np.int64), pa.int64()),
+                        pa.array(np.repeat(node[alone], n).view(np.int64), pa.int64()),
+                    ],
+                    names=["signature", "node"],
+                )
+
+    return docs.select("text").mapInArrow(work, "signature long, node long")
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, root, n, elements, parity) of rows (node, root, text) whose text has that set."""
+    """(node, n, elements) of rows (node, text) whose text has that set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, some in _slices(batch.column("text")):
                 sets, counts = shingle_sets(some, width)
-                expected = batch.column("node").slice(start, len(some)).to_numpy()
-                right = (_nodes(sets, counts).view(np.int64) == expected) & (counts > 0)
-                begin = np.cumsum(counts) - counts
+                expected = batch.column("node").slice(start, len(some))
+                right = (_nodes(sets, counts).view(np.int64) == expected.to_numpy()) & (counts > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("node").slice(start, len(some)).filter(pa.array(right)),
-                        batch.column("root").slice(start, len(some)).filter(pa.array(right)),
+                        expected.filter(pa.array(right)),
                         pa.array(counts[right], pa.int64()),
                         _lists(sets[np.repeat(right, counts)], counts[right]),
-                        pa.array(
-                            [
-                                parity(sets[begin[i] : begin[i] + counts[i]])
-                                for i in np.flatnonzero(right)
-                            ],
-                            pa.binary(),
-                        ),
                     ],
-                    names=["node", "root", "n", "elements", "parity"],
+                    names=["node", "n", "elements"],
                 )
 
-    return texts.mapInArrow(
-        work, "node long, root long, n long, elements array<long>, parity binary"
-    )
+    return texts.mapInArrow(work, "node long, n long, elements array<long>")
 
 
 def _close_pairs(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int):
@@ -230,13 +249,13 @@ def _close_pairs(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int):
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def candidate_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+def candidate_pairs(sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of one candidate component whose sketches allow the similarity.
 
-    A component is dealt into blocks by hash and compared block by block; a sketch, not a set,
-    is sent to each block pair, and only close pairs come out.
+    ``sketches`` are (root, node, n, parity). A component is dealt into blocks by hash and
+    compared block by block; a sketch, not a set, is sent to each block pair, and only close pairs
+    come out.
     """
-    sketches = sets.select("root", "node", "n", "parity")
     sizes = sketches.groupBy("root").agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")
     )
@@ -276,37 +295,46 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     Equal sets become one node. Signatures are shuffled once; nodes that share one are chained,
     which joins all possible partners in one candidate component. Its nodes are compared by
     sketches that can only understate differences, block by block, and what is left is compared
-    by the sets themselves. No link is lost and no pair of a group is written that isn't close.
+    by the sets themselves, for which the texts of these nodes alone are read again. No link is lost and no pair of a group is written that isn't close.
     Shingles are compared by 64-bit hashes. The similarity must exceed one half.
     """
     if 2 * num <= den:
         raise ValueError("the similarity must exceed one half")
-    known = cut_lineage(sketch(docs, width, num, den), "sketch")
-    rows = known.where("node IS NOT NULL").select(
-        F.explode("signatures").alias("signature"), "node"
-    )
+    known = cut_lineage(sketch(docs, width), "sketch")
     group = Window.partitionBy("signature").orderBy("node")
     chained = (
-        rows.withColumn("before", F.lag("node").over(group))
+        signatures(docs, width, num, den)
+        .withColumn("before", F.lag("node").over(group))
         .where("before <> node")
         .select(F.col("before").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
     possible = cut_lineage(components(chained), "possible")
+    sketches = (
+        known.where("parity IS NOT NULL")
+        .select("node", F.col("n_shingles").alias("n"), "parity")
+        .join(possible, "node")
+        .dropDuplicates(["node"])
+    )
+    pairs = cut_lineage(candidate_pairs(sketches, num, den), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = (
         known.where("node IS NOT NULL")
         .groupBy("node")
         .agg(F.min("doc_id").alias("__first"))
-        .join(possible, "node")
+        .join(ends, "node")
     )
     texts = docs.select("doc_id", "text").join(
         first, F.col("doc_id").eqNullSafe(F.col("__first"))
     )
-    sets = cut_lineage(_sets(texts.select("node", "root", "text"), width), "sets")
-    pairs = candidate_pairs(sets, num, den)
-    whole = sets.select("node", "n", "elements").dropDuplicates(["node"])
-    one = whole.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("x"))
-    two = whole.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("y"))
+    sets = cut_lineage(_sets(texts.select("node", "text"), width), "sets")
+    whole = sets.dropDuplicates(["node"])
+    one = whole.select(
+        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("x")
+    )
+    two = whole.select(
+        F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("y")
+    )
     common = F.size(F.array_intersect("x", "y"))
     linked = (
         pairs.join(one, "a")
