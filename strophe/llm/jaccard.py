@@ -21,7 +21,7 @@ BAND = 1.35
 #: Texts whose words are hashed together; bounds a worker's memory.
 SLICE = 2_000_000
 #: Nodes of a block in the comparison of one candidate component.
-BLOCK = 1024
+BLOCK = 8192
 
 
 def bands(largest: int) -> np.ndarray:
