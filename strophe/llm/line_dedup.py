@@ -72,7 +72,8 @@ def drop_repeated_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     line. All other columns stay.
     """
     covered = repeated_lines(docs.select("doc_id", "text"), width).select(
-        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "covered"
+        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"),
+        F.col("covered").alias("__covered"),
     )
     named = docs.withColumn("__own", F.unhex(F.md5(text_or_empty())))
     joined = named.join(
@@ -83,15 +84,15 @@ def drop_repeated_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     lines = F.split(text_or_empty(), "\n")
     # a map answers at once; a scan of the covered lines for each line would be quadratic
     kept = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered")),
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__covered")),
         lambda i: F.get(lines, i),
     )
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return joined.select(
         *columns,
         F.size(lines).alias("n_lines"),
-        F.coalesce(F.size("covered"), F.lit(0)).alias("__removed"),
-        F.when(F.col("covered").isNull(), text_or_empty())
+        F.coalesce(F.size("__covered"), F.lit(0)).alias("__removed"),
+        F.when(F.col("__covered").isNull(), text_or_empty())
         .otherwise(F.array_join(kept, "\n"))
         .alias("text"),
     ).withColumn("n_removed", F.greatest("__removed", F.lit(0))).drop("__removed")

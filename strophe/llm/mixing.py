@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import WORD, load, running_start
+from strophe.llm.common import WORD, load, part_of, running_start
 from strophe.session import cut_lineage
 
 BLOCK = 256
@@ -80,11 +80,6 @@ def _plan_table(spark: SparkSession, plans: list[Plan]) -> DataFrame:
     )
 
 
-def _position(values: list[int], at: Column) -> Column:
-    """How many of the ascending ``values`` are not above ``at``."""
-    return F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v <= at))
-
-
 def draw_slots(spark: SparkSession, plans: list[Plan], shard: int, seed: int) -> DataFrame:
     """Rows (shard, slot, src, j): the source of every output slot and its running index there.
 
@@ -104,7 +99,7 @@ def draw_slots(spark: SparkSession, plans: list[Plan], shard: int, seed: int) ->
         F.col("id").alias("slot"),
         F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("u"),
     )
-    drawn = drawn.select("shard", "slot", _position(ends, F.col("u")).cast("int").alias("src"))
+    drawn = drawn.select("shard", "slot", part_of(F.col("u"), ends).cast("int").alias("src"))
     numbered = running_start(
         drawn.withColumn("one", F.lit(1)), ["src"], "shard", ["slot"], "one", "j"
     ).drop("one")
@@ -123,7 +118,7 @@ def draw_slots(spark: SparkSession, plans: list[Plan], shard: int, seed: int) ->
     surplus = F.col("j") + F.get(F.array(*map(F.lit, over)), F.col("src"))
     if not short:
         return numbered
-    which = _position(short, surplus) - 1
+    which = part_of(surplus, short) - 1
     moved = F.get(
         F.array(*[F.struct(F.lit(i).alias("src"), F.lit(n).cast("long").alias("n")) for i, n in into]),
         which,
@@ -281,7 +276,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         F.col("source").alias("__source"), "src", "o", "size",
     )
     taken = rows.withColumn("__nth", F.row_number().over(same)).join(runs, ["src", "o"])
-    taken = taken.select("__id", "__tie", "__source", "__nth", "size", "taken", "runs")
+    taken = taken.select(
+        "__id", "__tie", "__source", "__nth", F.col("size").alias("__size"),
+        F.col("taken").alias("__taken"), F.col("runs").alias("__runs"),
+    )
     others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
     named = docs.withColumn("__own", F.xxhash64("text")).withColumn(
         "__dup",
@@ -300,12 +298,13 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     cut = F.array_join(
         F.flatten(
             F.transform(
-                "runs", lambda r: F.slice("__words", (r["start"] + 1).cast("int"), r["length"].cast("int"))
+                "__runs",
+                lambda r: F.slice("__words", (r["start"] + 1).cast("int"), r["length"].cast("int")),
             )
         ),
         " ",
     )
-    whole = F.col("size") == F.col("taken")
+    whole = F.col("__size") == F.col("__taken")
     out = joined.withColumn("__words", F.when(~whole, words)).withColumn(
         "__text", F.when(whole, F.col("text")).otherwise(cut)
     )
