@@ -112,6 +112,8 @@ class PieceEncoder:
         return array(self.typecode, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _bare(self, piece: str) -> bytes:
+        if _is_latin(piece):  # a text with other letters comes as it is
+            piece = piece.lower()
         if piece.isascii() and piece.isalpha():
             return array(self.typecode, [t.id for t in self.model.tokenize(piece)]).tobytes()
         if not _is_latin(piece) or "<|" in piece:
