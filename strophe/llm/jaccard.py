@@ -211,15 +211,19 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(work, "node long, n long, elements array<long>")
 
 
-def _close_pairs(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int):
-    """Index pairs whose sketches do not rule out the similarity."""
+def _close(
+    left: pd.DataFrame, right: pd.DataFrame, num: int, den: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs whose sketches do not rule out the similarity, with their relative distance.
+
+    They come in portions, so a block of copies never holds all of its pairs at once.
+    """
 
     def sketches(frame: pd.DataFrame, bits: int):
         rows = np.flatnonzero([8 * len(p) == bits for p in frame["parity"]])
         words = np.frombuffer(b"".join(frame["parity"].iloc[i] for i in rows), "<u8")
         return rows, words.reshape(len(rows), bits // 64)
 
-    out = []
     classes = sorted({8 * len(p) for f in (left, right) for p in f["parity"]})
     n_left, n_right = left["n"].to_numpy(), right["n"].to_numpy()
     for bits in classes:
@@ -243,18 +247,99 @@ def _close_pairs(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int):
                 )
                 both = n_left[i_rows[some], None] + n_right[None, j_rows]
                 i, j = np.nonzero(differ * (den + num) <= both * (den - num))
-                out.append((i_rows[lo + i], j_rows[j]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+                if len(i):
+                    yield i_rows[lo + i], j_rows[j], differ[i, j] / both[i, j]
+
+
+def _forest(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Pairs that span every tree of close pairs of two blocks, near ones first."""
+    name, at = np.unique(
+        np.concatenate([left["node"], right["node"]]).astype(np.int64), return_inverse=True
+    )
+    at_left, at_right = at[: len(left)], at[len(left) :]
+    root = np.arange(len(name))
+    kept = []
+    for i, j, far in _close(left, right, num, den):
+        x, y = at_left[i], at_right[j]
+        apart = np.flatnonzero(root[x] != root[y])
+        apart = apart[np.argsort(far[apart], kind="stable")]
+        up: dict[int, int] = {}
+
+        def top(r: int, up: dict[int, int] = up) -> int:
+            while r in up:
+                r = up[r]
+            return r
+
+        for k, r, s in zip(apart, root[x[apart]].tolist(), root[y[apart]].tolist(), strict=True):
+            r, s = top(r), top(s)
+            if r != s:
+                up[max(r, s)] = min(r, s)
+                kept.append((x[k], y[k]))
+        if up:
+            moved = np.arange(len(name))
+            for r in up:
+                moved[r] = top(r)
+            root = moved[root]
+    x, y = np.array(kept, np.int64).reshape(-1, 2).T
+    return _named(
+        name[x], name[y], name[x], name[y],
+        name[root[x]], np.zeros(len(x), np.int64), np.bincount(root, minlength=1)[root[x]] > 2,
+    )
+
+
+def _closest(
+    left: pd.DataFrame, right: pd.DataFrame, num: int, den: int, quota: int
+) -> pd.DataFrame:
+    """The ``quota`` closest pairs of every two labels of two blocks."""
+
+    def least(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held).drop_duplicates(["a", "b"]).sort_values(["g", "h", "far", "a", "b"])
+        return rows[rows.groupby(["g", "h"]).cumcount() <= quota]
+
+    label_left, label_right = left["label"].to_numpy(), right["label"].to_numpy()
+    node_left, node_right = left["node"].to_numpy(), right["node"].to_numpy()
+    held, rows = [], 0
+    for i, j, far in _close(left, right, num, den):
+        apart = label_left[i] != label_right[j]
+        i, j, far = i[apart], j[apart], far[apart]
+        a, b, g, h = node_left[i], node_right[j], label_left[i], label_right[j]
+        held.append(
+            pd.DataFrame(
+                {
+                    "a": np.minimum(a, b), "b": np.maximum(a, b),
+                    "g": np.minimum(g, h), "h": np.maximum(g, h), "far": far,
+                }
+            )
+        )
+        rows += len(a)
+        if rows > 1 << 20:
+            held, rows = [least(held)], 0
+    found = least(held) if held else pd.DataFrame(columns=["a", "b", "g", "h", "far"], dtype="int64")
+    same = found.groupby(["g", "h"])
+    more = same["a"].transform("size") > quota
+    kept = same.cumcount() < quota
+    found, more = found[kept], more[kept]
+    return _named(found["a"], found["b"], found["g"], found["h"], found["g"], found["h"], more)
+
+
+def _named(a, b, g, h, t, u, more) -> pd.DataFrame:
+    columns = [np.asarray(c, np.int64) for c in (np.minimum(a, b), np.maximum(a, b), g, h, t, u)]
+    return pd.DataFrame(
+        dict(zip("abghtu", columns, strict=True)) | {"more": np.asarray(more, bool)}
+    )
 
 
-def candidate_pairs(sketches: DataFrame, num: int, den: int) -> DataFrame:
+PAIRS = "a long, b long, g long, h long, t long, u long, more boolean"
+
+
+def candidate_pairs(sketches: DataFrame, num: int, den: int, quota: int) -> DataFrame:
     """Pairs (a, b) of one candidate component whose sketches allow the similarity.
 
-    ``sketches`` are (root, node, n, parity). A component is dealt into blocks by hash and
-    compared block by block; a sketch, not a set, is sent to each block pair, and only close pairs
-    come out.
+    ``sketches`` are (root, node, label, n, parity). A component is dealt into blocks by hash and
+    compared block by block; a sketch, not a set, is sent to each block pair. With ``quota`` 0 the
+    pairs of a block pair span its trees of close pairs; otherwise they are the ``quota`` closest
+    of every two labels g and h. (t, u) names the tree or the labels, ``more`` says that pairs
+    were left out there.
     """
     sizes = sketches.groupBy("root").agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")
@@ -265,7 +350,7 @@ def candidate_pairs(sketches: DataFrame, num: int, den: int) -> DataFrame:
     spread = dealt.withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).select(
-        "root", "node", "n", "parity", "own",
+        "root", "node", "label", "n", "parity", "own",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
     )
 
@@ -274,12 +359,89 @@ def candidate_pairs(sketches: DataFrame, num: int, den: int) -> DataFrame:
         frame = frame.drop_duplicates("node")
         left = frame[frame["own"] == i].reset_index(drop=True)
         right = frame[frame["own"] == j].reset_index(drop=True)
-        x, y = _close_pairs(left, right, num, den)
-        a, b = left["node"].to_numpy()[x], right["node"].to_numpy()[y]
-        pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        return pairs[pairs["a"] != pairs["b"]].drop_duplicates()
+        if quota:
+            return _closest(left, right, num, den, quota)
+        return _forest(left, right, num, den)
+
+    return spread.groupBy("root", "i", "j").applyInPandas(compare, PAIRS)
+
+
+def _checked(
+    docs: DataFrame, known: DataFrame, pairs: DataFrame, width: int, num: int, den: int
+) -> DataFrame:
+    """``pairs`` with ``linked``: whether the sets themselves reach the similarity.
+
+    The sets are made from one text of each node that occurs in a pair.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = (
+        known.where("node IS NOT NULL")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("__first"))
+        .join(ends, "node")
+    )
+    texts = docs.select("doc_id", "text").join(
+        first, F.col("doc_id").eqNullSafe(F.col("__first"))
+    )
+    whole = cut_lineage(_sets(texts.select("node", "text"), width), "sets").dropDuplicates(["node"])
+    one = whole.select(
+        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("x")
+    )
+    two = whole.select(
+        F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("y")
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    return (
+        pairs.join(one, "a")
+        .join(two, "b")
+        .withColumn("common", common)
+        .withColumn(
+            "linked",
+            F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num,
+        )
+        .select(*pairs.columns, "linked")
+    )
 
-    return spread.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
+
+def _roots(
+    docs: DataFrame, known: DataFrame, sketches: DataFrame, width: int, num: int, den: int
+) -> DataFrame:
+    """(node, root) of all nodes with a link.
+
+    At first only pairs that span the trees of close pairs are checked. If all pairs of a tree are
+    links, the pairs left out join nothing new. The nodes of other trees go on: labelled by the
+    links found so far, every two labels offer their closest pairs, sixteen times as many in each
+    round, until no pair that could join two labels is left out.
+    """
+    todo, quota, links = sketches.withColumn("label", F.col("node")), 0, None
+    while True:
+        pairs = cut_lineage(candidate_pairs(todo, num, den, quota), "pairs")
+        checked = cut_lineage(_checked(docs, known, pairs, width, num, den), "checked")
+        new = checked.where("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        roots = cut_lineage(components(links), "roots")
+        open_trees = (
+            checked.groupBy("t", "u")
+            .agg(F.bool_or("more").alias("more"), F.bool_and("linked").alias("all"))
+            .where("more AND NOT all")
+            .select("t", "u")
+        )
+        labels = cut_lineage(
+            checked.join(open_trees, ["t", "u"])
+            .select(F.explode(F.array("g", "h")).alias("label"))
+            .distinct(),
+            "labels",
+        )
+        if labels.isEmpty():
+            return roots
+        again = todo.join(labels, "label", "left_semi").drop("label")
+        todo = cut_lineage(
+            again.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn(
+                "label", F.coalesce("label", "node")
+            ),
+            "todo",
+        )
+        quota = 16 * max(quota, 1)
 
 
 def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -294,8 +456,9 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
 
     Equal sets become one node. Signatures are shuffled once; nodes that share one are chained,
     which joins all possible partners in one candidate component. Its nodes are compared by
-    sketches that can only understate differences, block by block, and what is left is compared
-    by the sets themselves, for which the texts of these nodes alone are read again. No link is lost and no pair of a group is written that isn't close.
+    sketches that can only understate differences, block by block, and pairs that span what is
+    left are compared by the sets themselves, for which the texts of these nodes alone are read
+    again. No link that joins two components is lost, and a group does not write all of its pairs.
     Shingles are compared by 64-bit hashes. The similarity must exceed one half.
     """
     if 2 * num <= den:
@@ -316,34 +479,7 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
         .join(possible, "node")
         .dropDuplicates(["node"])
     )
-    pairs = cut_lineage(candidate_pairs(sketches, num, den), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = (
-        known.where("node IS NOT NULL")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("__first"))
-        .join(ends, "node")
-    )
-    texts = docs.select("doc_id", "text").join(
-        first, F.col("doc_id").eqNullSafe(F.col("__first"))
-    )
-    sets = cut_lineage(_sets(texts.select("node", "text"), width), "sets")
-    whole = sets.dropDuplicates(["node"])
-    one = whole.select(
-        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("x")
-    )
-    two = whole.select(
-        F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("y")
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    linked = (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .withColumn("common", common)
-        .where(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num)
-        .select("a", "b")
-    )
-    roots = cut_lineage(components(linked), "roots")
+    roots = _roots(docs, known, sketches, width, num, den)
     named = cut_lineage(
         known.select("doc_id", "tie", "node", "n_shingles").join(roots, "node", "left").select(
             "doc_id", "tie", "n_shingles", F.coalesce("root", "node").alias("class")

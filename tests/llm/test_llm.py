@@ -98,6 +98,30 @@ def test_near_groups_match_brute_force(docs):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_families_near_the_threshold(spark, monkeypatch):
+    """Copies whose similarities lie around the threshold, over many blocks, as brute force links them."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for _ in range(45):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), rng.integers(0, 7)):
+                copy[at] = f"x{rng.integers(0, 1 << 30)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(frame, 5, 80, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_line_windows(docs):
     got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(docs).collect()}
     assert got[8]["text"] == "a\nb\nc\nd" and got[10]["text"] == "" and got[10]["n_removed"] == 3
