@@ -12,7 +12,7 @@ from strophe.functions.distributed import average_rank, with_totals
 from strophe.functions.scalars import ratio
 
 # fixed values: the direction in which a metric is better
-HIGHER = ("nmi", "silhouette", "ch", "log-likelihood", "dunn")
+HIGHER = ("nmi", "silhouette", "ch", "log_likelihood", "dunn")
 LOWER = ("dbi", "aic", "bic")
 SIZE_BINS = (0, 1000, 5000, 10000, 20000, None)
 SUMMARY_FIRST = ("composite_score", "nmi", "silhouette", "dbi", "ch", "dunn", "n_syls")
