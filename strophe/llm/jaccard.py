@@ -22,6 +22,8 @@ BAND = 1.35
 SLICE = 2_000_000
 #: Nodes of a block in the comparison of one candidate component.
 BLOCK = 8192
+#: Cells of a table of distances that is worked on at once.
+PORTION = 1 << 17
 
 
 def bands(largest: int) -> np.ndarray:
@@ -211,16 +213,37 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(work, "node long, n long, elements array<long>")
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of bits in which every row of ``x`` differs from every row of ``y``."""
+    total = np.zeros((len(x), len(y)), np.int64)
+    differ = np.empty(total.shape, np.uint64)
+    ones = np.empty(total.shape, np.uint8)
+    for word in range(x.shape[1]):
+        np.bitwise_xor(x[:, word, None], y[None, :, word], out=differ)
+        np.bitwise_count(differ, out=ones)
+        total += ones
+    return total
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Sketches of half the width. They differ in no more bits than the whole ones."""
+    half = x.shape[1] // 2
+    return x[:, :half] ^ x[:, half:]
+
+
 def _close(
     left: pd.DataFrame, right: pd.DataFrame, num: int, den: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs whose sketches do not rule out the similarity, with their relative distance.
 
-    They come in portions, so a block of copies never holds all of its pairs at once.
+    Rows are ordered by set size, so that only like sizes meet; sketches of a quarter of the width
+    decide most pairs, the whole ones the rest. Pairs come in portions, so a block of copies never
+    holds all of its pairs at once.
     """
 
     def sketches(frame: pd.DataFrame, bits: int):
         rows = np.flatnonzero([8 * len(p) == bits for p in frame["parity"]])
+        rows = rows[np.argsort(frame["n"].to_numpy()[rows], kind="stable")]
         words = np.frombuffer(b"".join(frame["parity"].iloc[i] for i in rows), "<u8")
         return rows, words.reshape(len(rows), bits // 64)
 
@@ -230,25 +253,38 @@ def _close(
         a_rows, a = sketches(left, bits)
         b_rows, b = sketches(right, bits)
         a_wide, b_wide = sketches(left, 2 * bits), sketches(right, 2 * bits)
-        fold = lambda x: x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
         sides = [(a_rows, a, b_rows, b)]
         if len(b_wide[0]):
-            sides.append((a_rows, a, b_wide[0], fold(b_wide[1])))
+            sides.append((a_rows, a, b_wide[0], _fold(b_wide[1])))
         if len(a_wide[0]):
-            sides.append((a_wide[0], fold(a_wide[1]), b_rows, b))
+            sides.append((a_wide[0], _fold(a_wide[1]), b_rows, b))
         for i_rows, x, j_rows, y in sides:
             if not len(i_rows) or not len(j_rows):
                 continue
-            step = max(1, (1 << 22) // (len(j_rows) * y.shape[1]))
+            thin_x, thin_y = x, y
+            if x.shape[1] > 4:
+                thin_x, thin_y = _fold(_fold(x)), _fold(_fold(y))
+            n_i, n_j = n_left[i_rows].astype(np.int64), n_right[j_rows].astype(np.int64)
+            step = max(1, PORTION // len(j_rows))
             for lo in range(0, len(i_rows), step):
-                some = slice(lo, lo + step)
-                differ = np.bitwise_count(x[some, None, :] ^ y[None, :, :]).sum(
-                    axis=2, dtype=np.int64
-                )
-                both = n_left[i_rows[some], None] + n_right[None, j_rows]
-                i, j = np.nonzero(differ * (den + num) <= both * (den - num))
-                if len(i):
-                    yield i_rows[lo + i], j_rows[j], differ[i, j] / both[i, j]
+                hi = min(lo + step, len(i_rows))
+                begin = int(np.searchsorted(n_j * den, n_i[lo] * num))
+                end = int(np.searchsorted(n_j * num, n_i[hi - 1] * den, side="right"))
+                for at in range(begin, end, PORTION):
+                    to = min(at + PORTION, end)
+                    both = n_i[lo:hi, None] + n_j[None, at:to]
+                    differ = _distances(thin_x[lo:hi], thin_y[at:to])
+                    i, j = np.nonzero(differ * (den + num) <= both * (den - num))
+                    i, j = i + lo, j + at
+                    some = max(1, (1 << 20) // x.shape[1])
+                    for k in range(0, len(i), some):
+                        p, q = i[k : k + some], j[k : k + some]
+                        whole = np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype=np.int64)
+                        total = n_i[p] + n_j[q]
+                        near = whole * (den + num) <= total * (den - num)
+                        near &= np.minimum(n_i[p], n_j[q]) * den >= np.maximum(n_i[p], n_j[q]) * num
+                        if near.any():
+                            yield i_rows[p[near]], j_rows[q[near]], whole[near] / total[near]
 
 
 def _forest(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -290,36 +326,58 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> pd.D
 def _closest(
     left: pd.DataFrame, right: pd.DataFrame, num: int, den: int, quota: int
 ) -> pd.DataFrame:
-    """The ``quota`` closest pairs of every two labels of two blocks."""
+    """The ``quota`` closest pairs of every two labels of two blocks.
 
-    def least(held: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(held).drop_duplicates(["a", "b"]).sort_values(["g", "h", "far", "a", "b"])
-        return rows[rows.groupby(["g", "h"]).cumcount() <= quota]
-
-    label_left, label_right = left["label"].to_numpy(), right["label"].to_numpy()
+    One pair more than that is held for every two labels; later pairs that are no closer than all
+    of them change nothing and go at once.
+    """
+    labels, code = np.unique(
+        np.concatenate([left["label"], right["label"]]).astype(np.int64), return_inverse=True
+    )
+    code_left, code_right = code[: len(left)], code[len(left) :]
     node_left, node_right = left["node"].to_numpy(), right["node"].to_numpy()
-    held, rows = [], 0
+    held = np.zeros(0, [("key", "<i8"), ("far", "<f8"), ("a", "<i8"), ("b", "<i8")])
+    full, worst = np.zeros(0, np.int64), np.zeros(0)
+    waiting, rows = [], 0
+
+    def least(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The closest pairs of every two labels, and their number among them from 0."""
+        all_rows = np.concatenate(some)
+        all_rows = all_rows[np.lexsort([all_rows[c] for c in ("b", "a", "far", "key")])]
+        a, b = all_rows["a"], all_rows["b"]
+        again = (a[1:] == a[:-1]) & (b[1:] == b[:-1])  # a block meets itself both ways round
+        all_rows = np.delete(all_rows, np.flatnonzero(again) + 1)
+        start = np.flatnonzero(np.diff(all_rows["key"], prepend=-1))
+        nth = np.arange(len(all_rows)) - np.repeat(start, np.diff(start, append=len(all_rows)))
+        keep = nth <= quota
+        return all_rows[keep], nth[keep]
+
     for i, j, far in _close(left, right, num, den):
-        apart = label_left[i] != label_right[j]
-        i, j, far = i[apart], j[apart], far[apart]
-        a, b, g, h = node_left[i], node_right[j], label_left[i], label_right[j]
-        held.append(
-            pd.DataFrame(
-                {
-                    "a": np.minimum(a, b), "b": np.maximum(a, b),
-                    "g": np.minimum(g, h), "h": np.maximum(g, h), "far": far,
-                }
-            )
-        )
-        rows += len(a)
-        if rows > 1 << 20:
-            held, rows = [least(held)], 0
-    found = least(held) if held else pd.DataFrame(columns=["a", "b", "g", "h", "far"], dtype="int64")
-    same = found.groupby(["g", "h"])
-    more = same["a"].transform("size") > quota
-    kept = same.cumcount() < quota
-    found, more = found[kept], more[kept]
-    return _named(found["a"], found["b"], found["g"], found["h"], found["g"], found["h"], more)
+        g, h = code_left[i], code_right[j]
+        key = np.minimum(g, h) * len(labels) + np.maximum(g, h)
+        open_pair = g != h
+        if len(full):
+            at = np.minimum(np.searchsorted(full, key), len(full) - 1)
+            open_pair &= (full[at] != key) | (far < worst[at])
+        if not open_pair.any():
+            continue
+        a, b = node_left[i[open_pair]], node_right[j[open_pair]]
+        new = np.empty(len(a), held.dtype)
+        new["key"], new["far"] = key[open_pair], far[open_pair]
+        new["a"], new["b"] = np.minimum(a, b), np.maximum(a, b)
+        waiting.append(new)
+        rows += len(new)
+        if rows > PORTION:
+            held, nth = least([held, *waiting])
+            last = nth == quota
+            full, worst = held["key"][last], held["far"][last]
+            waiting, rows = [], 0
+    held, nth = least([held, *waiting])
+    counts = dict(zip(*np.unique(held["key"], return_counts=True), strict=True))
+    found = held[nth < quota]
+    more = np.array([counts[k] > quota for k in found["key"]], bool)
+    g, h = labels[found["key"] // max(1, len(labels))], labels[found["key"] % max(1, len(labels))]
+    return _named(found["a"], found["b"], g, h, g, h, more)
 
 
 def _named(a, b, g, h, t, u, more) -> pd.DataFrame:

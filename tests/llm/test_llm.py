@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,52 @@ def test_families_near_the_threshold(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_close_pairs_of_blocks_match_plain_comparison():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (30, 90, 130, 400)]
+    sets = []
+    for k in range(160):
+        one = base[k % 4].copy()
+        one[: rng.integers(0, len(one) // 4)] = rng.integers(0, 1 << 63, 1, np.uint64)
+        sets.append(np.unique(one)[: len(one) - int(rng.integers(0, len(one) // 5))])
+    frame = pd.DataFrame(
+        {
+            "node": np.arange(160), "label": np.arange(160) // 3, "n": [len(s) for s in sets],
+            "parity": [jaccard.parity(s) for s in sets],
+        }
+    )
+    bits = [np.unpackbits(np.frombuffer(p, np.uint8), bitorder="little") for p in frame["parity"]]
+
+    def far(i, j):
+        x, y = sorted((bits[i], bits[j]), key=len)
+        if len(y) > 2 * len(x):
+            return None
+        y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+        both = len(sets[i]) + len(sets[j])
+        like = 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
+        return (x != y).sum() / both if like and (x != y).sum() * 9 <= both else None
+
+    expected = {
+        (i, j): f for i in range(160) for j in range(i, 160) if (f := far(i, j)) is not None
+    }
+    got = {}
+    for i, j, d in jaccard._close(frame, frame, 80, 100):
+        got |= dict(zip(zip(i.tolist(), j.tolist(), strict=True), d.tolist(), strict=True))
+    assert {k: v for k, v in got.items() if k[0] <= k[1]} == expected
+
+    for quota in (1, 16):
+        best = {}
+        for (i, j), d in expected.items():
+            if i // 3 != j // 3:
+                best.setdefault((i // 3, j // 3), []).append(d)
+        pairs = jaccard._closest(frame, frame, 80, 100, quota)
+        for key, rows in pairs.groupby(["g", "h"]):
+            want = sorted(best.pop(key))
+            assert sorted(expected[a, b] for a, b in zip(rows["a"], rows["b"], strict=True)) == want[:quota]
+            assert set(rows["more"]) == {len(want) > quota}
+        assert not best
+
+
 def test_line_windows(docs):
     got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(docs).collect()}
     assert got[8]["text"] == "a\nb\nc\nd" and got[10]["text"] == "" and got[10]["n_removed"] == 3
