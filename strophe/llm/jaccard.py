@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -213,6 +214,29 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(work, "node long, n long, elements array<long>")
 
 
+class Block(NamedTuple):
+    """Nodes with their labels, set sizes and sketches."""
+
+    node: np.ndarray
+    label: np.ndarray
+    n: np.ndarray
+    bits: np.ndarray
+    parity: list[bytes]
+
+    @classmethod
+    def of(cls, rows: pa.RecordBatch | pa.Table) -> Block:
+        parity = rows.column("parity").to_pylist()
+        node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
+        return cls(node, label, n, np.array([8 * len(p) for p in parity], np.int64), parity)
+
+    def sketches(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with sketches of this width, small sets first, and their sketches."""
+        rows = np.flatnonzero(self.bits == bits)
+        rows = rows[np.argsort(self.n[rows], kind="stable")]
+        words = np.frombuffer(b"".join([self.parity[i] for i in rows]), "<u8")
+        return rows, words.reshape(len(rows), bits // 64)
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Number of bits in which every row of ``x`` differs from every row of ``y``."""
     total = np.zeros((len(x), len(y)), np.int64)
@@ -232,7 +256,7 @@ def _fold(x: np.ndarray) -> np.ndarray:
 
 
 def _close(
-    left: pd.DataFrame, right: pd.DataFrame, num: int, den: int
+    left: Block, right: Block, num: int, den: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs whose sketches do not rule out the similarity, with their relative distance.
 
@@ -241,18 +265,10 @@ def _close(
     holds all of its pairs at once.
     """
 
-    def sketches(frame: pd.DataFrame, bits: int):
-        rows = np.flatnonzero([8 * len(p) == bits for p in frame["parity"]])
-        rows = rows[np.argsort(frame["n"].to_numpy()[rows], kind="stable")]
-        words = np.frombuffer(b"".join(frame["parity"].iloc[i] for i in rows), "<u8")
-        return rows, words.reshape(len(rows), bits // 64)
-
-    classes = sorted({8 * len(p) for f in (left, right) for p in f["parity"]})
-    n_left, n_right = left["n"].to_numpy(), right["n"].to_numpy()
-    for bits in classes:
-        a_rows, a = sketches(left, bits)
-        b_rows, b = sketches(right, bits)
-        a_wide, b_wide = sketches(left, 2 * bits), sketches(right, 2 * bits)
+    for bits in np.union1d(left.bits, right.bits).tolist():
+        a_rows, a = left.sketches(bits)
+        b_rows, b = right.sketches(bits)
+        a_wide, b_wide = left.sketches(2 * bits), right.sketches(2 * bits)
         sides = [(a_rows, a, b_rows, b)]
         if len(b_wide[0]):
             sides.append((a_rows, a, b_wide[0], _fold(b_wide[1])))
@@ -264,7 +280,7 @@ def _close(
             thin_x, thin_y = x, y
             if x.shape[1] > 4:
                 thin_x, thin_y = _fold(_fold(x)), _fold(_fold(y))
-            n_i, n_j = n_left[i_rows].astype(np.int64), n_right[j_rows].astype(np.int64)
+            n_i, n_j = left.n[i_rows], right.n[j_rows]
             step = max(1, PORTION // len(j_rows))
             for lo in range(0, len(i_rows), step):
                 hi = min(lo + step, len(i_rows))
@@ -287,12 +303,10 @@ def _close(
                             yield i_rows[p[near]], j_rows[q[near]], whole[near] / total[near]
 
 
-def _forest(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+def _forest(left: Block, right: Block, num: int, den: int) -> pa.RecordBatch:
     """Pairs that span every tree of close pairs of two blocks, near ones first."""
-    name, at = np.unique(
-        np.concatenate([left["node"], right["node"]]).astype(np.int64), return_inverse=True
-    )
-    at_left, at_right = at[: len(left)], at[len(left) :]
+    name, at = np.unique(np.concatenate([left.node, right.node]), return_inverse=True)
+    at_left, at_right = at[: len(left.node)], at[len(left.node) :]
     root = np.arange(len(name))
     kept = []
     for i, j, far in _close(left, right, num, den):
@@ -324,18 +338,15 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> pd.D
 
 
 def _closest(
-    left: pd.DataFrame, right: pd.DataFrame, num: int, den: int, quota: int
-) -> pd.DataFrame:
+    left: Block, right: Block, num: int, den: int, quota: int
+) -> pa.RecordBatch:
     """The ``quota`` closest pairs of every two labels of two blocks.
 
     One pair more than that is held for every two labels; later pairs that are no closer than all
     of them change nothing and go at once.
     """
-    labels, code = np.unique(
-        np.concatenate([left["label"], right["label"]]).astype(np.int64), return_inverse=True
-    )
-    code_left, code_right = code[: len(left)], code[len(left) :]
-    node_left, node_right = left["node"].to_numpy(), right["node"].to_numpy()
+    labels, code = np.unique(np.concatenate([left.label, right.label]), return_inverse=True)
+    code_left, code_right = code[: len(left.node)], code[len(left.node) :]
     held = np.zeros(0, [("key", "<i8"), ("far", "<f8"), ("a", "<i8"), ("b", "<i8")])
     full, worst = np.zeros(0, np.int64), np.zeros(0)
     waiting, rows = [], 0
@@ -361,7 +372,7 @@ def _closest(
             open_pair &= (full[at] != key) | (far < worst[at])
         if not open_pair.any():
             continue
-        a, b = node_left[i[open_pair]], node_right[j[open_pair]]
+        a, b = left.node[i[open_pair]], right.node[j[open_pair]]
         new = np.empty(len(a), held.dtype)
         new["key"], new["far"] = key[open_pair], far[open_pair]
         new["a"], new["b"] = np.minimum(a, b), np.maximum(a, b)
@@ -380,13 +391,34 @@ def _closest(
     return _named(found["a"], found["b"], g, h, g, h, more)
 
 
-def _named(a, b, g, h, t, u, more) -> pd.DataFrame:
-    columns = [np.asarray(c, np.int64) for c in (np.minimum(a, b), np.maximum(a, b), g, h, t, u)]
-    return pd.DataFrame(
-        dict(zip("abghtu", columns, strict=True)) | {"more": np.asarray(more, bool)}
+def _named(a, b, g, h, t, u, more) -> pa.RecordBatch:
+    columns = [np.minimum(a, b), np.maximum(a, b), g, h, t, u]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.asarray(c, np.int64)) for c in columns] + [pa.array(np.asarray(more, bool))],
+        names=[*"abghtu", "more"],
     )
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal ``keys``; no more than a run and a batch are held."""
+    held: list[pa.RecordBatch] = []
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.column_stack([batch.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            key = tuple(values[lo].tolist())
+            if held and key != before:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            before = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 PAIRS = "a long, b long, g long, h long, t long, u long, more boolean"
 
 
@@ -412,16 +444,26 @@ def candidate_pairs(sketches: DataFrame, num: int, den: int, quota: int) -> Data
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
     )
 
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        frame = frame.drop_duplicates("node")
-        left = frame[frame["own"] == i].reset_index(drop=True)
-        right = frame[frame["own"] == j].reset_index(drop=True)
-        if quota:
-            return _closest(left, right, num, den, quota)
-        return _forest(left, right, num, den)
-
-    return spread.groupBy("root", "i", "j").applyInPandas(compare, PAIRS)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["root", "i", "j"]):
+            first = np.sort(np.unique(run.column("node").to_numpy(), return_index=True)[1])
+            run = run.take(pa.array(first)) if len(first) < run.num_rows else run
+            i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
+            if i == j:
+                left = right = Block.of(run)
+            else:
+                at_left = pc.equal(run.column("own"), i)
+                left, right = Block.of(run.filter(at_left)), Block.of(run.filter(pc.invert(at_left)))
+            found = _closest(left, right, num, den, quota) if quota else _forest(left, right, num, den)
+            if found.num_rows:
+                yield found
+
+    # a run holds two blocks at most, so no task gets a whole component
+    return (
+        spread.repartition("root", "i", "j")
+        .sortWithinPartitions("root", "i", "j")
+        .mapInArrow(compare, PAIRS)
+    )
 
 
 def _checked(

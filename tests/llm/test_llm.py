@@ -3,7 +3,6 @@
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,13 +130,13 @@ def test_close_pairs_of_blocks_match_plain_comparison():
         one = base[k % 4].copy()
         one[: rng.integers(0, len(one) // 4)] = rng.integers(0, 1 << 63, 1, np.uint64)
         sets.append(np.unique(one)[: len(one) - int(rng.integers(0, len(one) // 5))])
-    frame = pd.DataFrame(
-        {
-            "node": np.arange(160), "label": np.arange(160) // 3, "n": [len(s) for s in sets],
-            "parity": [jaccard.parity(s) for s in sets],
-        }
+    names = np.arange(160)
+    parity = [jaccard.parity(s) for s in sets]
+    block = jaccard.Block(
+        names, names // 3, np.array([len(s) for s in sets]),
+        np.array([8 * len(p) for p in parity]), parity,
     )
-    bits = [np.unpackbits(np.frombuffer(p, np.uint8), bitorder="little") for p in frame["parity"]]
+    bits = [np.unpackbits(np.frombuffer(p, np.uint8), bitorder="little") for p in parity]
 
     def far(i, j):
         x, y = sorted((bits[i], bits[j]), key=len)
@@ -152,7 +151,7 @@ def test_close_pairs_of_blocks_match_plain_comparison():
         (i, j): f for i in range(160) for j in range(i, 160) if (f := far(i, j)) is not None
     }
     got = {}
-    for i, j, d in jaccard._close(frame, frame, 80, 100):
+    for i, j, d in jaccard._close(block, block, 80, 100):
         got |= dict(zip(zip(i.tolist(), j.tolist(), strict=True), d.tolist(), strict=True))
     assert {k: v for k, v in got.items() if k[0] <= k[1]} == expected
 
@@ -161,7 +160,7 @@ def test_close_pairs_of_blocks_match_plain_comparison():
         for (i, j), d in expected.items():
             if i // 3 != j // 3:
                 best.setdefault((i // 3, j // 3), []).append(d)
-        pairs = jaccard._closest(frame, frame, 80, 100, quota)
+        pairs = jaccard._closest(block, block, 80, 100, quota).to_pandas()
         for key, rows in pairs.groupby(["g", "h"]):
             want = sorted(best.pop(key))
             assert sorted(expected[a, b] for a, b in zip(rows["a"], rows["b"], strict=True)) == want[:quota]
