@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strophe.functions.distributed import beside
 from strophe.functions.scalars import array_sum, ratio
 from strophe.operators.arrays import mean_of
-from strophe.session import spread_small
+from strophe.session import spread
 
 TINY = 1e-10
 
@@ -67,7 +67,7 @@ def frame_power(df: DataFrame, nfft: int, hop: int, column: str = "samples", key
                     }
                 )
 
-    return spread_small(df.select(key, column), key).mapInPandas(spectra, schema)
+    return spread(df.select(key, column), key).mapInPandas(spectra, schema)
 
 
 def magnitudes() -> Column:

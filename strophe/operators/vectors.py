@@ -230,34 +230,28 @@ def param_grid(df: DataFrame, **lists: Sequence) -> DataFrame:
 
 
 def needs_recompute(existing: DataFrame, wanted: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Per ``param_id``: are the stored ids missing or incompatible with the wanted ones?
+    """Per ``param_id``: do the stored ids differ from the wanted ones?
 
-    ``existing (param_id, id)`` and ``wanted (param_id, id, pos)``; incompatible means another
-    size, or fewer than 50 of the first 100 wanted ids among the stored ones.
+    ``existing`` and ``wanted`` are (param_id, id), all rows of which are compared: ids are to be
+    made again if there are none, or another number of them, or a wanted one is not among them.
     """
-    stored = existing.groupBy("param_id").agg(F.count("*").alias("n_stored"))
-    asked = wanted.groupBy("param_id").agg(F.count("*").alias("n_wanted"))
-    first = wanted.where(F.col("pos") < 100)
-    shared = (
-        first.join(existing.select("param_id", "id").distinct(), ["param_id", "id"])
-        .groupBy("param_id")
-        .agg(F.count("*").alias("n_shared"))
+    both = (
+        existing.select("param_id", "id", F.lit(1).alias("has"), F.lit(0).alias("asks"))
+        .unionByName(wanted.select("param_id", "id", F.lit(0).alias("has"), F.lit(1).alias("asks")))
+        .groupBy("param_id", "id")
+        .agg(F.sum("has").alias("has"), F.sum("asks").alias("asks"))
+    )
+    sums = both.groupBy("param_id").agg(
+        F.sum("asks").alias("n_wanted"),
+        F.nullif(F.sum("has"), F.lit(0)).alias("n_stored"),
+        F.sum(F.when(F.col("has") > 0, F.col("asks")).otherwise(0)).alias("n_shared"),
     )
     bad = (
         F.col("n_stored").isNull()
         | (F.col("n_stored") != F.col("n_wanted"))
-        | (F.coalesce("n_shared", F.lit(0)) < F.least(F.lit(50), F.col("n_wanted")))
-    )
-    return (
-        asked.join(stored, "param_id", "left")
-        .join(shared, "param_id", "left")
-        .withColumns(
-            {
-                "n_shared": F.coalesce("n_shared", F.lit(0)),
-                "recompute": F.lit(True) if overwrite else bad,
-            }
-        )
+        | (F.col("n_shared") != F.col("n_wanted"))
     )
+    return sums.where("n_wanted > 0").withColumn("recompute", F.lit(True) if overwrite else bad)
 
 
 def embedding_inventory(embeddings: DataFrame, params: DataFrame) -> DataFrame:

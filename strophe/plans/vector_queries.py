@@ -187,28 +187,23 @@ def param_grid(spark, sf_dir):
 
 @query(
     "needs_recompute",
-    """WITH want AS (SELECT label AS param_id, vec_id AS id, row_number() OVER (
-              PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings),
+    """WITH want AS (SELECT label AS param_id, vec_id AS id FROM embeddings),
        have AS (SELECT label AS param_id, vec_id AS id FROM embeddings
-                WHERE label < 5 OR (label < 8 AND embedding[1] > 0))
-       SELECT param_id, count(*) AS n_wanted,
-         nullif((SELECT count(*) FROM have h WHERE h.param_id = want.param_id), 0) AS n_stored,
-         count(*) FILTER (pos < 100 AND EXISTS (SELECT 1 FROM have h
-            WHERE h.param_id = want.param_id AND h.id = want.id)) AS n_shared,
-         (SELECT count(*) FROM have h WHERE h.param_id = want.param_id) <> count(*)
-          OR count(*) FILTER (pos < 100 AND EXISTS (SELECT 1 FROM have h
-            WHERE h.param_id = want.param_id AND h.id = want.id)) < least(50, count(*))
-          AS recompute
-       FROM want GROUP BY param_id""",
+                WHERE label < 5 OR (label < 8 AND embedding[1] > 0)),
+       n AS (SELECT param_id, count(*) AS n_wanted,
+         (SELECT count(*) FROM have h WHERE h.param_id = want.param_id) AS n_have,
+         count(*) FILTER (EXISTS (SELECT 1 FROM have h
+            WHERE h.param_id = want.param_id AND h.id = want.id)) AS n_shared
+       FROM want GROUP BY param_id)
+       SELECT param_id, n_wanted, nullif(n_have, 0) AS n_stored, n_shared,
+         n_have <> n_wanted OR n_shared <> n_wanted AS recompute FROM n""",
 )
 def needs_recompute(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("label").alias("param_id"), F.col("vec_id").alias("id"), "embedding"
     )
     have = rows.where("param_id < 5 OR (param_id < 8 AND embedding[0] > 0)").drop("embedding")
-    w = F.row_number().over(V.W.partitionBy("param_id").orderBy("id")) - 1
-    want = rows.select("param_id", "id", w.alias("pos"))
-    return V.needs_recompute(have, want)
+    return V.needs_recompute(have, rows.drop("embedding"))
 
 
 @query(

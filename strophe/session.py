@@ -81,17 +81,9 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as estimated by the optimizer, without running anything."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows out before expensive work per row, to as many tasks as a shuffle has.
 
-
-def spread_small(df: DataFrame, *keys: str, limit: int = 256 << 20) -> DataFrame:
-    """Spread a small input over all cores before expensive work per row.
-
-    A table of one small file is one task. Inputs above ``limit`` have tasks enough and are left
-    where they are.
+    A file or a row group may hold many such rows and would be one task.
     """
-    if estimated_bytes(df) > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,20 @@ def test_false_discovery_rate(spark):
     assert got == pytest.approx({"a": .02, "b": .04, "c": .04, "d": .02})
 
 
+def test_f_tail_with_very_many_rows():
+    # P(F > 3) with 4 and infinitely many degrees of freedom is 7 * exp(-6); the rest falls as 1/d2
+    limit = 7 * math.exp(-6)
+    for d2 in (1e11, 1e12, 1e14, 1e16):
+        assert f_tail_value(3, 4, d2) == pytest.approx(limit, rel=1e-9)
+    # two degrees of freedom have a closed form
+    for f, d2 in ((0.5, 3), (3, 7.5), (40, 1e3), (9, 1e9)):
+        expected = math.exp(-d2 / 2 * math.log1p(2 * f / d2))
+        assert f_tail_value(f, 2, d2) == pytest.approx(expected, rel=1e-9)
+    # like numbers above and below: half of the mass on either side
+    for d in (1e3, 1e6, 1e9):
+        assert f_tail_value(1, d, d) == pytest.approx(0.5, abs=1e-9)
+
+
 def test_f_tail():
     # fixed values: upper 5 % points of the F distribution from printed tables
     for f, d1, d2 in ((4.1028, 2, 10), (2.7109, 5, 20), (161.4476, 1, 1), (3.9361, 1, 100)):
