@@ -27,11 +27,9 @@ def landing(spark, sf_dir):
 )
 def stream_ingest(spark, sf_dir):
     target = scratch_path(spark, "stream")
-    run = ST.run_available(
-        ST.stream_ingest(landing(spark, sf_dir)), target, scratch_path(spark, "state")
-    )
+    run = ST.stream_ingest(landing(spark, sf_dir), target, scratch_path(spark, "state"))
     run.awaitTermination()
-    return spark.read.parquet(target).select("subject", "label", "segment_id")
+    return ST.ingested(spark, target).select("subject", "label", "segment_id")
 
 
 SESSION_SQL = """
@@ -51,14 +49,9 @@ s AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY subject
 def stream_song_summary(spark, sf_dir):
     source = ST.read_landing(spark, _once(spark, sf_dir), _once_schema(spark, sf_dir))
     target = scratch_path(spark, "sessions")
-    # a closing row far in the future of every stream lets the last sessions pass the watermark
-    run = ST.run_available(
-        ST.stream_song_summary(source, "6 hours", "0 seconds"), target,
-        scratch_path(spark, "state"),
-    )
+    run = ST.stream_sessions(source, target, scratch_path(spark, "state"), "6 hours")
     run.awaitTermination()
-    out = spark.read.parquet(target).where("first_label <> 'end of stream'")
-    return out.select(
+    return ST.session_totals(spark, target, "6 hours").select(
         "subject", F.unix_micros("song_at").alias("song_at"), "n", "first_label",
         (F.unix_micros("last_at") - F.unix_micros("first_at")).alias("span"),
     )
@@ -77,12 +70,7 @@ def _once_schema(spark, sf_dir):
 
 def _once(spark, sf_dir):
     path = scratch_path(spark, "landing")
-    rows = _rows(spark, sf_dir)
-    rows.write.parquet(path)
-    rows.agg(F.max("ts").alias("ts")).select(
-        F.lit(-1).cast("long").alias("subject"), F.lit("end of stream").alias("label"),
-        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
-    ).write.mode("append").parquet(path)
+    _rows(spark, sf_dir).write.parquet(path)
     return path
 
 

@@ -143,3 +143,54 @@ def test_stream_sessions_equal_batch_sessions(spark, sf):
     batch = ST.stream_song_summary(rows, "6 hours", watermark=False)
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == sorted(
         map(tuple, batch.collect()))
+
+
+def one_by_one(spark, rows, part, order=(3, 0, 4, 1, 2)):
+    """A stream of one file per batch; ``part`` says which file holds a row."""
+    path = scratch_path(spark, "files")
+    for k in order:
+        rows.where(F.pmod(part, F.lit(5)) == k).coalesce(1).write.mode("append").parquet(path)
+    return ST.read_landing(spark, path, rows.schema, files_per_batch=1)
+
+
+def late_events(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("user_id").alias("subject"), F.col("event_type").alias("label"),
+        F.col("event_id").alias("segment_id"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def test_ingest_takes_late_batches(spark, sf):
+    rows = late_events(spark, sf)
+    twice = rows.unionByName(rows.where("label = 'click'"))
+    target = scratch_path(spark, "stream")
+    source = one_by_one(spark, twice, F.expr("xxhash64(segment_id, rand(7))"))
+    ST.stream_ingest(source, target, scratch_path(spark, "state")).awaitTermination()
+    got = ST.ingested(spark, target).select(*rows.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_sessions_take_late_batches(spark, sf):
+    rows = late_events(spark, sf).drop("segment_id")
+    target = scratch_path(spark, "sessions")
+    source = one_by_one(spark, rows, F.xxhash64("ts"))
+    ST.stream_sessions(source, target, scratch_path(spark, "state"), "6 hours").awaitTermination()
+    got = ST.session_totals(spark, target, "6 hours")
+    want = ST.stream_song_summary(rows, "6 hours", watermark=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("split", ["days", "rows"])
+def test_transitions_of_songs_over_batches(spark, sf, split):
+    from strophe.operators.sequences import transitions
+    from strophe.plans.bindings import event_sequence
+
+    rows = event_sequence(spark, sf)
+    part = F.floor(F.col("chunk") / 24) if split == "days" else F.xxhash64("ord")
+    target = scratch_path(spark, "counts")
+    source = one_by_one(spark, rows, part)
+    ST.stream_transition_counts(source, target, scratch_path(spark, "state")).awaitTermination()
+
+    def flat(df):
+        return {(r.subject, r["from"], r.to): r.n for r in df.collect()}
+
+    assert flat(ST.transition_totals(spark, target)) == flat(transitions(rows))
