@@ -220,11 +220,12 @@ def lda_report(df: DataFrame, features: Sequence[str], label: str = "label",
 
 
 def forest_report(df: DataFrame, features: Sequence[str], label: str = "label",
-                  key: str | Column = "id", trees: int = 100, depth: int = 10, folds: int = 5,
+                  key: str | Column = "id", trees: int = 100, depth: int = 30, folds: int = 5,
                   seed: int = 42) -> tuple[DataFrame, list[float]]:
     """Importances beside F statistics with cumulative shares, and the accuracy of every fold.
 
-    ``needed_80`` and ``needed_90`` mark the features that reach that share of all importance.
+    ``needed_80`` and ``needed_90`` mark the features that reach that share of all importance. The
+    default depth is the deepest that Spark grows; a tree without a limit may go deeper.
     """
     key = F.col(key) if isinstance(key, str) else key
     rows = complete_rows(df, features, label).withColumn("_fold", fold_of(key, folds))

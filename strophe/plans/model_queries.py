@@ -37,7 +37,7 @@ def lda_report(spark, sf_dir):
 
 @query("forest_report")
 def forest_report(spark, sf_dir):
-    table_, scores = M.forest_report(keyed(spark, sf_dir), FEATURES, trees=10, depth=5, folds=3)
+    table_, scores = M.forest_report(keyed(spark, sf_dir), FEATURES, trees=100, depth=30, folds=5)
     return table_.withColumn("accuracy", F.lit(sum(scores) / len(scores)))
 
 
@@ -48,7 +48,7 @@ def tops(spark, sf_dir):
     first = coefficients.where("discriminant = 'ld1'").select(
         "feature", F.abs("coefficient").alias("score")
     )
-    trees, scores = M.forest_report(rows, FEATURES, trees=10, depth=5, folds=2)
+    trees, scores = M.forest_report(rows, FEATURES, trees=100, depth=30, folds=5)
     parts = [
         M.top_by(tested, "univariate", "eta_squared", 3),
         M.top_by(trees, "forest", "importance", 3),

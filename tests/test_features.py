@@ -158,3 +158,26 @@ def test_samples_per_cluster(spark, strategy):
     df = spark.createDataFrame(rows, "id int, label string")
     got = X.sample_per_cluster(df, 9, strategy).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in got} == {"big": 9, "small": 7}
+
+
+def test_registered_forests_are_whole(spark, sf, monkeypatch):
+    import inspect
+
+    from strophe.plans import model_queries as Q
+
+    asked = []
+
+    def forest(df, features, label="label", key="id", trees=None, depth=None, folds=None):
+        asked.append((trees, depth, folds))
+        table = df.sparkSession.createDataFrame([("a", 1.0)], "feature string, importance double")
+        return table, [1.0]
+
+    first = spark.createDataFrame([("ld1", "a", 1.0)],
+                                  "discriminant string, feature string, coefficient double")
+    hits = spark.createDataFrame([(1.0,)], "accuracy double")
+    assert inspect.signature(M.forest_report).parameters["depth"].default == 30
+    monkeypatch.setattr(M, "forest_report", forest)
+    monkeypatch.setattr(M, "lda_report", lambda rows, features: (first, None, hits))
+    Q.forest_report(spark, sf)
+    Q.tops(spark, sf)
+    assert asked == [(100, 30, 5)] * 2
