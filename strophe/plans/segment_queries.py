@@ -585,7 +585,7 @@ def write_stage(spark, sf_dir):
     rows = segments(spark, sf_dir).select("subject", "song_id", "event_id", "label")
     T.write_stage(rows.where("label <> 'error' OR subject > 20"), root, "r1", "segments")
     T.write_stage(rows, root, "r1", "segments", overwrite=True)
-    T.write_stage(rows, root, "r1", "segments")
+    T.write_stage(rows, root, "r1", "segments", key=["event_id"])
     out = T.read_stage(spark, root, "r1", "segments")
     return out.select(F.col("subject").cast("long").alias("subject"), "song_id", "event_id", "label")
 

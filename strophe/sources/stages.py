@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.session import cut_lineage
 from strophe.sources.names import normalize_subject
 
 # fixed values: settings that change speed, not results
@@ -17,27 +18,49 @@ SPEED_ONLY = ("max_workers", "overwrite", "verbose", "n_jobs", "memory_limit")
 PATH_MAP_SCHEMA = "name string, local_path string, server_path string"
 
 
-def write_stage(df: DataFrame, root: str, run: str, stage: str, overwrite: bool = False) -> None:
-    """Store a stage by subject. Subjects already stored are left alone unless overwritten."""
+def write_stage(df: DataFrame, root: str, run: str, stage: str, overwrite: bool = False,
+                key: Sequence[str] = ()) -> None:
+    """Store a stage by subject. What is already stored is left alone unless overwritten.
+
+    With ``key``, the columns that name a row within its subject, rows with new keys are added to
+    stored subjects too. Without one a subject is left alone if it was stored to the end: its name is
+    written beside the stage after its rows. Rows of a subject without that mark are replaced.
+    """
     path = f"{root}/{run}/{stage}"
+    done = f"{path}.stored"
+    kind = dict(df.dtypes)["subject"]
+    given = df
+    if not overwrite and key:
+        stored = _stored(df.sparkSession, path)
+        if stored is not None:
+            names = ["subject", *key]
+            known = stored.select(F.col("subject").cast(kind).alias("subject"), *key).distinct()
+            known = known.select(*[F.col(c).alias(f"_{c}") for c in names])
+            same = [df[c].eqNullSafe(known[f"_{c}"]) for c in names]
+            df = df.join(known, same, "left_anti")
+    elif not overwrite:
+        marks = _stored(df.sparkSession, done)
+        if marks is not None:
+            marked = marks.distinct().select(F.col("subject").cast(kind).alias("_subject"))
+            df = df.join(marked, df["subject"].eqNullSafe(marked["_subject"]), "left_anti")
     # rebalancing keeps the files of a subject few and splits a subject that is too large
-    df = df.hint("rebalance", "subject")
-    writer = df.write.partitionBy("subject")
-    if overwrite:
+    writer = df.hint("rebalance", "subject").write.partitionBy("subject")
+    append = key and not overwrite
+    names = cut_lineage((given if append else df).select("subject").distinct(), "subjects")
+    if append:
+        writer.mode("append").parquet(path)
+    else:
         writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-        return
+    names.write.mode("append").parquet(done)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        stored = df.sparkSession.read.parquet(path).select("subject").distinct()
+        return spark.read.parquet(path)
     except Exception as error:  # noqa: BLE001 - only a missing path is expected
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-        writer.mode("append").parquet(path)
-        return
-    fresh = df.join(
-        stored.withColumn("subject", F.col("subject").cast(dict(df.dtypes)["subject"])),
-        "subject", "left_anti",
-    )
-    fresh.hint("rebalance", "subject").write.partitionBy("subject").mode("append").parquet(path)
+        return None
 
 
 def read_stage(spark: SparkSession, root: str, run: str, stage: str) -> DataFrame:

@@ -83,6 +83,23 @@ def test_stages_skip_and_overwrite(spark):
     assert got == {"a": 2, "b": 2}
 
 
+def test_stages_complete_stored_subjects(spark):
+    root = scratch_path(spark, "t")
+    whole = spark.createDataFrame([("a", 1), ("a", 2), ("a", None), ("b", 3)], "subject string, v int")
+    T.write_stage(whole.where("v = 1"), root, "r", "s", key=["v"])
+    for _ in range(2):
+        T.write_stage(whole, root, "r", "s", key=["v"])
+    got = T.read_stage(spark, root, "r", "s").select("subject", "v").collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole.collect()))
+    T.write_stage(whole.where("v = 1"), root, "r", "s")
+    assert T.read_stage(spark, root, "r", "s").count() == 4
+    # an append that stopped half-way leaves rows and no mark
+    whole.where("v = 1").write.partitionBy("subject").parquet(f"{root}/r/half")
+    T.write_stage(whole, root, "r", "half")
+    got = T.read_stage(spark, root, "r", "half").select("subject", "v").collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole.collect()))
+
+
 def test_run_id_ignores_speed_settings():
     assert T.run_id({"a": 1, "max_workers": 4}) == T.run_id({"a": 1})
     assert T.run_id({"a": 1}) != T.run_id({"a": 2}) and len(T.run_id({})) == 8
