@@ -44,8 +44,8 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    """After the host up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """After the host up to ``?``, ``#`` or the end. The first ``://`` counts, none in the query."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*+(/[^?#]*)", 1), F.lit(""))
 
 
 def _grams(text: Column) -> Column:

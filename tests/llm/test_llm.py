@@ -225,3 +225,11 @@ def test_empty_tables(spark, docs):
 
 def test_crc_of_ids_is_unsigned():
     assert zlib.crc32(b"\xff") >= 0
+
+
+def test_path_belongs_to_the_first_address(spark):
+    urls = ["http://b.net?u=http://x.com/de/1", "http://shop.com?u=http://x.org/de/1", "http://b.net#http://x.com/a",
+            "http://b.net/p?u=http://x.com/q", "http://b.net", "b.net/p", "://h/p://q/r"]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, url string").orderBy("i")
+    got = [tuple(r) for r in df.select(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).collect()]
+    assert got == [("b.net", ""), ("shop.com", ""), ("b.net", ""), ("b.net", "/p"), ("b.net", ""), ("", ""), ("h", "/p://q/r")]
