@@ -17,7 +17,7 @@ from strophe.llm.components import components
 from strophe.llm.shingles import mix, shingle_sets
 from strophe.session import cut_lineage
 
-#: Documents whose set sizes lie within this ratio form one band.
+#: Documents whose set sizes lie within this ratio form one band, if the similarity allows no more.
 BAND = 1.35
 #: Texts whose words are hashed together; bounds a worker's memory.
 SLICE = 2_000_000
@@ -27,12 +27,16 @@ BLOCK = 8192
 PORTION = 1 << 17
 
 
-def bands(largest: int) -> np.ndarray:
-    """Lower ends of the size bands that cover 1 to ``largest``, and one band more."""
+def bands(largest: int, num: int, den: int) -> np.ndarray:
+    """Lower ends of the size bands that cover 1 to ``largest``, and one band more.
+
+    A band is at least den / num wide, so partners lie in the same band or the next.
+    """
     ends = [1]
-    while ends[-1] <= largest:
-        ends.append(max(ends[-1] + 1, math.floor(ends[-1] * BAND) + 1))
-    return np.array([*ends, max(ends[-1] + 1, math.floor(ends[-1] * BAND) + 1)])
+    while len(ends) < 2 or ends[-2] <= largest:
+        last = ends[-1]
+        ends.append(max(last + 1, math.floor(last * BAND) + 1, last * den // num + 1))
+    return np.array(ends)
 
 
 def _signatures(
@@ -50,7 +54,7 @@ def _signatures(
     """
     if not len(sets):
         return sets, counts
-    ends = bands(int(counts.max()))
+    ends = bands(int(counts.max()), num, den)
     own = np.searchsorted(ends, counts, side="right") - 1
     values, holders = [], []
     with_elements = np.flatnonzero(counts)

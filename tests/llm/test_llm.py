@@ -233,3 +233,21 @@ def test_path_belongs_to_the_first_address(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "i int, url string").orderBy("i")
     got = [tuple(r) for r in df.select(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).collect()]
     assert got == [("b.net", ""), ("shop.com", ""), ("b.net", ""), ("b.net", "/p"), ("b.net", ""), ("", ""), ("h", "/p://q/r")]
+
+
+@pytest.mark.parametrize("num", [51, 60, 70, 85])
+def test_partners_of_other_sizes_share_a_signature(num):
+    rng = np.random.default_rng(num)
+    for large in (*range(20, 400, 7), 150):
+        small = -(-large * num // 100)
+        whole = np.sort(rng.integers(0, 1 << 63, large, dtype=np.uint64))
+        part = np.sort(rng.choice(whole, small, replace=False))
+        values, held = jaccard._signatures(np.concatenate([whole, part]), np.array([large, small]), num, 100)
+        assert set(values[: held[0]]) & set(values[held[0] :]), (small, large)
+
+
+def test_a_link_over_sizes_is_found(spark):
+    text = [f"w{i}" for i in range(154)]
+    frame = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:94])), (3, "x y z")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(frame, 5, 60, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
