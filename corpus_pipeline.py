@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No SQL states a trained score or token ids; tests compare the stages with plain versions.
+#: No SQL states a trained score or token ids; no test covers the stages or their chain yet.
 ORACLE_SQL = None
 
 
