@@ -42,7 +42,9 @@ def bands(largest: int, num: int, den: int) -> np.ndarray:
 def _signatures(
     sets: np.ndarray, counts: np.ndarray, num: int, den: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of sets (ascending hashes): values, and how many each set has.
+    """One-part signatures after PartEnum, for sets (ascending hashes): values, how many each has.
+
+    PartEnum takes subsets of parts; here a single part is a signature, which chains more candidates.
 
     Sets of sizes s and p with Jaccard similarity of num/den at least differ in no more than
     (s + p) * (den - num) / (den + num) elements. Within a band the hash domain is cut into parts,
