@@ -6,6 +6,7 @@ from strophe.llm import (
     exact_dedup,
     huffman,
     jaccard,
+    license_scan,
     line_dedup,
     mixing,
     packing,
@@ -28,6 +29,7 @@ QUERIES = {
         topk.op8_topk,
         token_counts.op9_token_counts,
         line_dedup.op10_line_dedup,
+        license_scan.op11_license_scan,
     )
 }
 
@@ -36,4 +38,5 @@ ORACLES = {
     "op7_jaccard": jaccard.ORACLE,
     "op8_topk": topk.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_license_scan": license_scan.ORACLE,
 }
