@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strophe.llm import (
+    audit_repair,
     exact_dedup,
     huffman,
     jaccard,
@@ -30,6 +31,7 @@ QUERIES = {
         token_counts.op9_token_counts,
         line_dedup.op10_line_dedup,
         license_scan.op11_license_scan,
+        audit_repair.op12_audit_repair,
     )
 }
 
