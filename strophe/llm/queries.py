@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strophe.llm import (
+    alignment,
     audit_repair,
     exact_dedup,
     huffman,
@@ -32,6 +33,7 @@ QUERIES = {
         line_dedup.op10_line_dedup,
         license_scan.op11_license_scan,
         audit_repair.op12_audit_repair,
+        alignment.op13_alignment,
     )
 }
 
