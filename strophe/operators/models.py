@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from strophe.functions.scalars import array_sum
 from strophe.operators.features import anova
+from strophe.session import cut_lineage
 
 # fixed values: name parts that put a feature into a category
 CATEGORIES = {
@@ -219,6 +220,43 @@ def lda_report(df: DataFrame, features: Sequence[str], label: str = "label",
     return coefficients, anova(projected, names, label), accuracy
 
 
+def _forest_rows(df: DataFrame, features: Sequence[str], label: str, key: Column, folds: int):
+    """Complete rows as vectors with label number and fold, written once for all fits."""
+    rows = complete_rows(df, features, label).withColumn("_fold", fold_of(key, folds))
+    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
+    rows = StringIndexer(inputCol=label, outputCol="_y").fit(rows).transform(rows)
+    return cut_lineage(rows.select("_x", "_y", "_fold", label, *features), "forest_rows")
+
+
+def _forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
+    """Node ids are kept from level to level, so a deep tree isn't walked again for every row."""
+    return RandomForestClassifier(
+        featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed,
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024,
+    )
+
+
+def _importance_table(rows: DataFrame, model, features: Sequence[str], label: str) -> DataFrame:
+    """One row per feature; the window orders as many rows as there are features."""
+    weights = [(f, float(model.featureImportances[i])) for i, f in enumerate(features)]
+    table = rows.sparkSession.createDataFrame(weights, "feature string, importance double")
+    w = W.partitionBy(F.lit(1)).orderBy(F.col("importance").desc(), "feature")
+    upto = F.sum("importance").over(w.rowsBetween(W.unboundedPreceding, 0))
+    table = table.withColumns({"cumulative": upto, "rank": F.row_number().over(w)})
+    before = F.col("cumulative") - F.col("importance")
+    stats = anova(rows, features, label, p_values=False).select("feature", "f_statistic")
+    return table.withColumns({"needed_80": before < 0.8, "needed_90": before < 0.9}).join(
+        stats, "feature", "left"
+    )
+
+
+def forest_importances(df: DataFrame, features: Sequence[str], label: str = "label",
+                       trees: int = 100, depth: int = 30, seed: int = 42) -> DataFrame:
+    """The table of :func:`forest_report` without its folds: one forest over all rows."""
+    rows = _forest_rows(df, features, label, F.lit(0).cast("long"), 1)
+    return _importance_table(rows, _forest(trees, depth, seed).fit(rows), features, label)
+
+
 def forest_report(df: DataFrame, features: Sequence[str], label: str = "label",
                   key: str | Column = "id", trees: int = 100, depth: int = 30, folds: int = 5,
                   seed: int = 42) -> tuple[DataFrame, list[float]]:
@@ -228,28 +266,14 @@ def forest_report(df: DataFrame, features: Sequence[str], label: str = "label",
     default depth is the deepest that Spark grows; a tree without a limit may go deeper.
     """
     key = F.col(key) if isinstance(key, str) else key
-    rows = complete_rows(df, features, label).withColumn("_fold", fold_of(key, folds))
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
-    rows = StringIndexer(inputCol=label, outputCol="_y").fit(rows).transform(rows)
-    rows = rows.select("_x", "_y", "_fold", label, *features)
-    forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees,
-                                    maxDepth=depth, seed=seed)
-    model = forest.fit(rows)
+    rows = _forest_rows(df, features, label, key, folds)
+    forest = _forest(trees, depth, seed)
     judge = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy")
     scores = []
     for fold in range(folds):
         fitted = forest.fit(rows.where(F.col("_fold") != fold))
         scores.append(judge.evaluate(fitted.transform(rows.where(F.col("_fold") == fold))))
-    weights = [(f, float(model.featureImportances[i])) for i, f in enumerate(features)]
-    table = df.sparkSession.createDataFrame(weights, "feature string, importance double")
-    w = W.partitionBy(F.lit(1)).orderBy(F.col("importance").desc(), "feature")
-    upto = F.sum("importance").over(w.rowsBetween(W.unboundedPreceding, 0))
-    table = table.withColumns({"cumulative": upto, "rank": F.row_number().over(w)})
-    before = F.col("cumulative") - F.col("importance")
-    stats = anova(rows, features, label, p_values=False).select("feature", "f_statistic")
-    return table.withColumns({"needed_80": before < 0.8, "needed_90": before < 0.9}).join(
-        stats, "feature", "left"
-    ), scores
+    return _importance_table(rows, forest.fit(rows), features, label), scores
 
 
 def top_by(df: DataFrame, method: str, score: str, n: int = 10) -> DataFrame:
