@@ -18,6 +18,7 @@ from strophe.functions.scalars import array_sum, ratio
 from strophe.functions.tails import f_tail
 from strophe.operators.scores import ari, nmi
 from strophe.operators.vectors import hash_order
+from strophe.operators.wide import correlations  # noqa: F401 - one of the feature reports
 from strophe.params import NOISE
 
 # fixed values: effect sizes from which a share of variance counts as large, medium, small
@@ -479,24 +480,6 @@ def ramping(df: DataFrame, features: Sequence[str], label: str = "label",
     )
 
 
-def correlations(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every pair of features over the rows that have both."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    frame = df.groupBy(*by) if by else df.groupBy()
-    wide = frame.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}")
-          for i, (a, b) in enumerate(pairs)]
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-                     F.col(f"_{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return wide.select(*by, F.explode(cells).alias("_c")).select(*by, "_c.*")
-
-
 def high_correlations(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.where(F.abs("r") > threshold)
 

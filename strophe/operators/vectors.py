@@ -6,13 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strophe.functions.distributed import beside
+from strophe.operators.wide import Components, components, project
 from strophe.session import cut_lineage
 
 BLOCK_ROWS = 4096
@@ -112,7 +111,14 @@ def blocks(points: DataFrame, by: Sequence[str], key: str, rows: int = BLOCK_ROW
     more tasks, not larger ones, and no pair of rows is ever written out.
     """
     total = points.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(rows)).alias("_blocks"))
-    placed = points.join(total, list(by)) if by else beside(points, total)
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        total = total.withColumnsRenamed({c: f"_g_{c}" for c in by})
+        placed = points.join(total, same).drop(*[f"_g_{c}" for c in by])
+    else:
+        placed = beside(points, total)
     own = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
     placed = placed.withColumn("_b", own)
     left = F.transform(
@@ -155,67 +161,26 @@ def split_sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return left, right
 
 
-def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, out: list) -> None:
-    a, b = _matrix(left["vec"]), _matrix(right["vec"])
-    left_ids, right_ids = left["id"].to_numpy(), right["id"].to_numpy()
-    slack = 1e-6 * (1.0 + np.sqrt((b * b).sum(axis=1).max()))
-    for start, dist in distance_tiles(a, b):
-        ids = left_ids[start : start + len(dist)]
-        dist[ids[:, None] == right_ids[None, :]] = np.inf
-        kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
-        # the matrix product is inexact: keep all that may be among the k and measure them again
-        rows, cols = np.nonzero((dist <= (kth + slack)[:, None]) & np.isfinite(dist))
-        diff = a[start + rows] - b[cols]
-        exact = np.sqrt((diff * diff).sum(axis=1))
-        found = pd.DataFrame(
-            {"id": ids[rows], "neighbor": right_ids[cols], "distance": exact}
-        ).sort_values(["id", "distance", "neighbor"])
-        out.append(found.groupby("id", sort=False).head(k))
-
-
-def knn(
-    points: DataFrame, k: int, by: Sequence[str] = (), block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Exact ``k`` nearest neighbours of every row of ``(by, id long, vec array<double>)``.
-
-    Block pairs keep at most ``k`` candidates per row and side; these are merged per row.
-    """
-    by = list(by)
-    fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = ", ".join([*[f"{c} {fields[c]}" for c in by],
-                        f"id {fields['id']}", f"neighbor {fields['id']}", "distance double"])
-
-    def of_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = split_sides(pdf)
-        out: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            _nearest(left, right, k, out)
-            if pdf["bi"].iloc[0] != pdf["bj"].iloc[0]:
-                _nearest(right, left, k, out)
-        found = pd.concat(out) if out else pd.DataFrame(columns=["id", "neighbor", "distance"])
-        for c in by:
-            found[c] = pdf[c].iloc[0]
-        return found[[*by, "id", "neighbor", "distance"]]
-
-    pairs = blocks(points.select(*by, "id", "vec"), by, "id", block_rows)
-    found = pairs.groupBy(*by, "bi", "bj").applyInPandas(of_pair, schema)
-    rank = F.row_number().over(W.partitionBy(*by, "id").orderBy("distance", "neighbor"))
-    nearest = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return nearest.withColumn("rank", F.col("rank").cast("long"))
+def embed_pca(vecs: DataFrame, k: int = 2, scale: bool = False) -> DataFrame:
+    """Project ``(id, vec)`` on its first ``k`` principal components, as ``embedding``."""
+    rows = vecs.withColumn("_set", F.lit("all"))
+    return project(rows, components(rows, {"all": k}, scale, by="_set"), by="_set").drop("_set")
 
 
-def embed_pca(vecs: DataFrame, k: int = 2, scale: bool = False) -> DataFrame:
-    """Project ``(id, vec)`` on its first ``k`` principal components.
+def embed_grid(points: DataFrame, grid: DataFrame) -> DataFrame:
+    """Coordinates of every point set of ``(param_id, id, vec)`` as its parameter row asks.
 
-    The covariance is summed on the executors; the driver sees one p x p matrix.
+    ``grid (param_id, k, scale)`` is a parameter list. Each point set has its own vectors, of any
+    width; all sets of one scaling share their passes over the data. Point sets without a parameter
+    row are left out.
     """
-    rows = vecs.withColumn("_v", array_to_vector("vec"))
-    scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=scale)
-    rows = scaler.fit(rows).transform(rows)
-    model = PCA(k=k, inputCol="_s", outputCol="_p").fit(rows)
-    return model.transform(rows).withColumn("embedding", vector_to_array("_p")).drop(
-        "_v", "_s", "_p"
-    )
+    wanted = {r["param_id"]: (r["k"], r["scale"]) for r in grid.select("param_id", "k", "scale").collect()}
+    found: dict[str, Components] = {}
+    for scale in (False, True):
+        part = {p: k for p, (k, s) in wanted.items() if s == scale}
+        if part:
+            found |= components(points, part, scale)
+    return project(points, found)
 
 
 def param_grid(df: DataFrame, **lists: Sequence) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strophe.functions import distances as D
 from strophe.functions.scalars import round_all, rounded
 from strophe.operators import clustering as C
+from strophe.operators import metric_index as I
 from strophe.operators import scores as K
 from strophe.operators import vectors as V
 from strophe.plans.bindings import r6, sql
@@ -150,7 +151,7 @@ def distance(spark, sf_dir):
         FROM vecs a JOIN vecs b ON a.id <> b.id) x WHERE rank <= 5"""),
 )
 def knn(spark, sf_dir):
-    return round_all(V.knn(vectors(spark, sf_dir).select("id", "vec"), 5), ["distance"])
+    return round_all(I.knn(vectors(spark, sf_dir).select("id", "vec"), 5), ["distance"])
 
 
 @query("embed_pca")

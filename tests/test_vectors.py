@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strophe.operators import clustering as C
+from strophe.operators import metric_index as I
 from strophe.operators import scores as K
 from strophe.operators import vectors as V
 
@@ -21,7 +22,7 @@ def distances(x):
 def test_knn_is_exact_over_blocks(spark, block_rows):
     x = np.random.default_rng(1).normal(size=(60, 4))
     x[40:50] = x[3]  # copies
-    found = V.knn(points(spark, x), 3, ["param_id"], block_rows).collect()
+    found = I.knn(points(spark, x), 3, ["param_id"], block_rows).collect()
     d = distances(x)
     np.fill_diagonal(d, np.inf)
     for i in range(60):
@@ -146,3 +147,49 @@ def test_kmeans_finds_far_groups(spark):
     found = {r.id: r.cluster for r in C.cluster_kmeans(points(spark, x), 3).collect()}
     groups = [{found[i] for i in range(k, k + 20)} for k in (0, 20, 40)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+
+
+def clumps(groups=12, rows=40, dims=6, seed=3):
+    """Well separated clumps of points."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 20, (groups, dims))
+    return np.concatenate([rng.normal(c, 0.3, (rows, dims)) for c in centres])
+
+
+def test_neighbour_search_opens_few_cell_pairs(spark):
+    x = clumps()
+    found, pairs = I.knn_with_pairs(points(spark, x), 4, ["param_id"], 20)
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, j) for i in range(len(x)) for j in np.argsort(d[i])[:4]}
+    assert {(r.id, r.neighbor) for r in found.collect()} == want
+    leaves = I.place(points(spark, x), ["param_id"], 20).select("cell").distinct().count()
+    assert leaves > 12 and pairs.count() < leaves * (leaves - 1) / 4
+
+
+def test_dunn_opens_few_cell_pairs(spark):
+    x = clumps()
+    lab = np.repeat(np.arange(12), 40)
+    found, pairs = I.extremes(points(spark, x, lab), ["param_id"], 10)
+    d, same = distances(x), lab[:, None] == lab[None]
+    row = found.first()
+    assert row.low == pytest.approx(d[~same].min()) and row.high == pytest.approx(d[same].max())
+    leaves = I.place(points(spark, x, lab), ["param_id", "label"], 10).select("label", "cell").distinct().count()
+    assert pairs.count() < leaves * leaves / 8
+
+
+def test_cells_of_copies_and_null_groups(spark):
+    x = np.concatenate([np.zeros((50, 3)), np.random.default_rng(0).normal(size=(30, 3))])
+    df = points(spark, x).withColumn("param_id", F.lit(None).cast("string"))
+    found = I.knn(df, 2, ["param_id"], 8).collect()
+    assert len(found) == 160 and sum(r.distance == 0 for r in found) == 100
+
+
+def test_tree_cells_hold_their_rows(spark):
+    placed = I.place(points(spark, clumps()), ["param_id"], 16)
+    nodes = {r.cell: r for r in I.tree(placed, ["param_id"]).collect()}
+    for r in placed.collect():
+        for size in range(len(r.cell) + 1):
+            node = nodes[r.cell[:size]]
+            assert np.linalg.norm(np.array(r.vec) - node.pivot) <= node.radius + 1e-9
+            assert node.is_leaf == (size == len(r.cell))
