@@ -154,10 +154,60 @@ def knn(spark, sf_dir):
     return round_all(I.knn(vectors(spark, sf_dir).select("id", "vec"), 5), ["distance"])
 
 
-@query("embed_pca")
+PAIRS = 3
+
+
+def pair_sets(spark, sf_dir):
+    """Point sets of neighbouring components: ``param_id, id, vec``."""
+    sets = F.array(*[
+        F.struct(
+            F.lit(f"pair{i}").alias("param_id"),
+            F.slice("embedding", 2 * i + 1, 2).cast("array<double>").alias("vec"),
+        )
+        for i in range(PAIRS)
+    ])
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.explode(sets).alias("s"))
+    return rows.select("s.param_id", "id", "s.vec")
+
+
+def embedded_pairs(spark, sf_dir):
+    grid = spark.createDataFrame(
+        [(f"pair{i}", 2, False) for i in range(PAIRS)], "param_id string, k int, scale boolean"
+    )
+    return V.embed_grid(pair_sets(spark, sf_dir), grid).select(
+        "param_id", "id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")
+    )
+
+
+# the axes of two columns in closed form; the larger entry of an axis is positive
+EMBED_SQL = f"""
+raw AS (SELECT 'pair' || i AS param_id, vec_id AS id, embedding[2 * i + 1]::DOUBLE AS u,
+          embedding[2 * i + 2]::DOUBLE AS v FROM embeddings, range({PAIRS}) r(i)),
+axis AS (SELECT param_id, avg(u) AS mu, avg(v) AS mv,
+           atan2(2 * covar_pop(u, v), var_pop(u) - var_pop(v)) / 2 AS t FROM raw GROUP BY param_id),
+way AS (SELECT *, sign(CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN cos(t) ELSE sin(t) END) AS s1,
+          sign(CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN -sin(t) ELSE cos(t) END) AS s2 FROM axis),
+emb AS (SELECT param_id, id, s1 * ((u - mu) * cos(t) + (v - mv) * sin(t)) AS x,
+          s2 * ((v - mv) * cos(t) - (u - mu) * sin(t)) AS y FROM raw JOIN way USING (param_id))
+"""
+
+
+@query("embed_pca", sql(EMBED_SQL, f"SELECT param_id, id, {r6('x')}, {r6('y')} FROM emb"))
 def embed_pca(spark, sf_dir):
-    out = V.embed_pca(vectors(spark, sf_dir).select("id", "vec"))
-    return out.select("id", F.size("embedding").alias("dims"))
+    return round_all(embedded_pairs(spark, sf_dir), ["x", "y"])
+
+
+@query(
+    "embed_pca_distances",
+    sql(VECTOR_SQL, f"""SELECT a.id, {r6('list_distance(a.vec, b.vec)', 'distance')}
+        FROM vecs a JOIN vecs b ON b.id = a.id + 1"""),
+)
+def embed_pca_distances(spark, sf_dir):
+    """All 64 components keep the distances between rows."""
+    out = V.embed_pca(vectors(spark, sf_dir).select("id", "vec"), 64).select("id", "embedding")
+    after = out.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("other"))
+    gap = D.euclidean(F.col("embedding"), F.col("other"))
+    return out.join(after, "id").select("id", rounded(gap).alias("distance"))
 
 
 @query(
@@ -233,11 +283,19 @@ def cluster_kmeans(spark, sf_dir):
     return rows.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-PLANE_SQL = """
+GRID_SQL = """
 grid AS (SELECT * FROM (VALUES ('a', 0.02::DOUBLE, 4, 3), ('b', 0.03, 6, 10), ('c', 0.015, 2, 2))
-         g(param_id, eps, min_samples, min_cluster_size)),
+         g(param_id, eps, min_samples, min_cluster_size))
+"""
+PLANE_SQL = """
 pts AS (SELECT param_id, eps, min_samples, min_cluster_size, vec_id AS id,
-          embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings, grid),
+          embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings, grid)
+"""
+SET_SQL = """
+pts AS (SELECT emb.param_id || '/' || grid.param_id AS param_id, eps, min_samples,
+          min_cluster_size, id, x, y FROM emb, grid)
+"""
+DENSITY_SQL = """
 near AS (SELECT a.param_id, a.id, b.id AS other, a.min_samples FROM pts a JOIN pts b
          ON a.param_id = b.param_id
          AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= a.eps * a.eps),
@@ -252,7 +310,8 @@ reach AS (SELECT param_id, id, id AS other FROM core
 comp AS (SELECT param_id, id, min(other) AS first_id FROM reach GROUP BY param_id, id),
 kept AS (SELECT comp.param_id, first_id,
            row_number() OVER (PARTITION BY comp.param_id ORDER BY first_id) - 1 AS cluster
-         FROM comp JOIN grid USING (param_id) GROUP BY comp.param_id, first_id, min_cluster_size
+         FROM comp JOIN (SELECT DISTINCT param_id, min_cluster_size FROM pts) USING (param_id)
+         GROUP BY comp.param_id, first_id, min_cluster_size
          HAVING count(*) >= min_cluster_size),
 lab AS (SELECT pts.param_id, pts.id, x, y, coalesce(cluster, -1) AS cluster FROM pts
         LEFT JOIN comp ON comp.param_id = pts.param_id AND comp.id = pts.id
@@ -271,13 +330,13 @@ def plane(spark, sf_dir):
 def cut_grid(spark):
     return spark.createDataFrame(
         [("a", 0.02, 4, 3), ("b", 0.03, 6, 10), ("c", 0.015, 2, 2)],
-        "param_id string, eps double, min_samples int, min_cluster_size int",
+        "cut_id string, eps double, min_samples int, min_cluster_size int",
     )
 
 
 @query(
     "cluster_density",
-    sql(PLANE_SQL, "SELECT id, cluster FROM lab WHERE param_id = 'a'", recursive=True),
+    sql(GRID_SQL, PLANE_SQL, DENSITY_SQL, "SELECT id, cluster FROM lab WHERE param_id = 'a'", recursive=True),
 )
 def cluster_density(spark, sf_dir):
     points = plane(spark, sf_dir).withColumns(
@@ -289,16 +348,27 @@ def cluster_density(spark, sf_dir):
 
 @query(
     "grid_cluster",
-    sql(PLANE_SQL, """SELECT param_id, cluster, count(*) AS n, min(id) AS first_id FROM lab
-                      GROUP BY param_id, cluster""", recursive=True),
+    sql(GRID_SQL, PLANE_SQL, DENSITY_SQL, """SELECT param_id AS cut_id, cluster, count(*) AS n,
+        min(id) AS first_id FROM lab GROUP BY param_id, cluster""", recursive=True),
 )
 def grid_cluster(spark, sf_dir):
     labels = C.grid_cluster(plane(spark, sf_dir), cut_grid(spark))
-    return labels.groupBy("param_id", "cluster").agg(
+    return labels.groupBy("cut_id", "cluster").agg(
         F.count("*").alias("n"), F.min("id").alias("first_id")
     )
 
 
+@query(
+    "embed_and_cluster",
+    sql(GRID_SQL, EMBED_SQL, SET_SQL, DENSITY_SQL,
+        "SELECT param_id, id, cluster FROM lab", recursive=True),
+)
+def embed_and_cluster(spark, sf_dir):
+    """Every embedding of the grid cut by every row of the cluster grid."""
+    labels = C.grid_cluster(embedded_pairs(spark, sf_dir), cut_grid(spark), ["param_id"])
+    return labels.select(F.concat_ws("/", "param_id", "cut_id").alias("param_id"), "id", "cluster")
+
+
 def labelled(spark, sf_dir):
     """Two labellings of the vectors: as given, and by the signs of two dimensions with noise."""
     signs = F.expr(
