@@ -1,20 +1,27 @@
 """Order statistics that stay exact when one group holds most of the rows.
 
-Values are spread over a fixed number of equal-width bins between the smallest and the largest value
-of their group; equal values are counted, not repeated. Only bin totals are ordered per group.
+The values of a group are cut at its approximate quantiles, and every such bin again into equal
+widths, so neither outliers nor a large group put many values into one bin; equal values are counted,
+not repeated. Only bin totals are ordered per group. The quantiles decide where to cut and nothing
+else: results are exact whatever they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strophe.functions.scalars import ratio
+from strophe.session import cut_lineage
 
-BINS = 4096
+#: Cuts per group, a square number, and equal widths between two of them.
+CUTS, WIDTHS = 256, 64
+#: The bin of null values, past all others.
+NULL_BIN = CUTS * WIDTHS + WIDTHS
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -31,25 +38,54 @@ def with_totals(df: DataFrame, by: Sequence[str], **aggs) -> DataFrame:
     return beside(df, df.agg(*columns))
 
 
-def _binned(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Counts of distinct values, with the bin of each. Null values get the bin past the last."""
-    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    counts = with_totals(counts, by, _lo=F.min("_v"), _hi=F.max("_v"))
-    place = F.floor(
-        ratio(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * BINS
+def _edges(value: Column) -> Column:
+    """Ascending approximate quantiles of a group, from a sketch that tasks merge.
+
+    ``all`` of them, and every so many as ``coarse``.
+    """
+    shares = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
+    found = F.percentile_approx(value, shares, 2 * CUTS)
+    root = math.isqrt(CUTS)
+    coarse = F.array(*[F.get(found, F.lit(i * root - 1)) for i in range(1, root + 1)])
+    return F.struct(found.alias("all"), coarse.alias("coarse"))
+
+
+def _bin(value: Column, cuts: Column) -> Column:
+    """A number that never falls when the value grows; null for null values.
+
+    The cut is found in two steps of the square root of ``CUTS`` comparisons each.
+    """
+    root = math.isqrt(CUTS)
+    edges, coarse = cuts["all"], cuts["coarse"]
+    below = F.size(F.filter(coarse, lambda e: e <= value)) * root
+    within = F.size(F.filter(F.slice(edges, below + 1, root), lambda e: e <= value))
+    cut = below + within
+    low, high = F.get(edges, cut - 1), F.get(edges, cut)
+    share = F.floor(ratio(value - low, high - low) * WIDTHS)
+    width = F.when(F.isnan(share.cast("double")), 0).otherwise(F.coalesce(share, F.lit(0)))
+    return (cut * WIDTHS + F.least(F.greatest(width, F.lit(0)), F.lit(WIDTHS - 1))).cast("int")
+
+
+def _binned(
+    df: DataFrame, by: Sequence[str], value: str, weight: str | None = None
+) -> DataFrame:
+    """Counts of distinct values, with the bin of each. Null values get the bin past the last.
+
+    The counts are written before and after they are binned: ``df`` is read once.
+    """
+    times = F.count("*") if weight is None else F.sum(weight)
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(times.alias("_n"))
+    counts = with_totals(cut_lineage(counts, "counts"), by, _edges=_edges(F.col("_v")))
+    binned = counts.withColumn(
+        "_bin", F.when(F.col("_v").isNull(), NULL_BIN).otherwise(_bin(F.col("_v"), F.col("_edges")))
     )
-    return counts.withColumn(
-        "_bin",
-        F.when(F.col("_v").isNull(), BINS)
-        .otherwise(F.least(F.coalesce(place, F.lit(0)), F.lit(BINS - 1)))
-        .cast("int"),
-    ).drop("_lo", "_hi")
+    return cut_lineage(binned.drop("_edges"), "binned")
 
 
 def _with_before(counts: DataFrame, by: Sequence[str], descending: bool = False) -> DataFrame:
     """Add ``_before``: how many rows of the group come before the value."""
     bins = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_bin_n"))
-    is_null = (F.col("_bin") == BINS).cast("int")
+    is_null = (F.col("_bin") == NULL_BIN).cast("int")
     order = [is_null, F.col("_bin").desc() if descending else F.col("_bin").asc()]
     earlier = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     bins = bins.select(
@@ -84,11 +120,15 @@ def average_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
-    """Interpolated quantiles of every group, one column per entry of ``quantiles``."""
+    """Interpolated quantiles of every group, one column per entry of ``quantiles``.
+
+    ``weight`` is how often a row counts; 1 without it.
+    """
     by = list(by)
-    counts = _binned(df.where(F.col(value).isNotNull()), by, value)
+    counts = _binned(df.where(F.col(value).isNotNull()), by, value, weight)
     placed = _with_before(counts, by)
     sized = with_totals(placed, by, _total=F.sum("_n"))
     last = F.col("_before") + F.col("_n") - 1
@@ -106,19 +146,22 @@ def exact_quantiles(
 
 
 def numbered(
-    df: DataFrame, by: Sequence[str], key: str, order: Sequence, name: str, bins: int = BINS
+    df: DataFrame, by: Sequence[str], key: str, order: Sequence, name: str
 ) -> DataFrame:
     """Add the 0-based place of every row in its group, without ordering a group in one task.
 
-    Rows are put in equal-width bins of the numeric ``key`` (null keys last) and ordered by
-    ``order``, of which ``key`` must be the first part, inside a bin.
+    Rows are binned by the numeric ``key`` (null keys last) and ordered by ``order``, of which
+    ``key`` must be the first part, inside a bin. Rows that share one key share a bin.
     """
     by = list(by)
-    spans = with_totals(df, by, _lo=F.min(key), _hi=F.max(key))
-    place = F.floor(ratio((F.col(key) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo") + 1))
-    binned = spans.withColumn(
-        "_bin", F.when(F.col(key).isNull(), bins).otherwise(F.coalesce(place, F.lit(0)))
-    ).drop("_lo", "_hi")
+    number = F.col(key).cast("double")
+    spans = with_totals(df, by, _edges=_edges(number))
+    binned = cut_lineage(
+        spans.withColumn(
+            "_bin", F.when(number.isNull(), NULL_BIN).otherwise(_bin(number, F.col("_edges")))
+        ).drop("_edges"),
+        "binned",
+    )
     totals = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(

@@ -20,6 +20,7 @@ from strophe.operators.scores import ari, nmi
 from strophe.operators.vectors import hash_order
 from strophe.operators.wide import correlations  # noqa: F401 - one of the feature reports
 from strophe.params import NOISE
+from strophe.session import cut_lineage
 
 # fixed values: effect sizes from which a share of variance counts as large, medium, small
 EFFECT_BANDS = ((0.14, "large"), (0.06, "medium"), (0.01, "small"))
@@ -438,21 +439,30 @@ def top_discriminative(profile: DataFrame, n: int = 3, by: Sequence[str] = ()) -
 
 def discriminative_spread(df: DataFrame, top: DataFrame, features: Sequence[str],
                           label: str = "label") -> DataFrame:
-    """Quartiles of the top features of a label inside it and in all other labels (n >= 3)."""
+    """Quartiles of the top features of a label inside it and in all other labels (n >= 3).
+
+    Values are counted once per (label, feature). The other labels of a label are all labels less
+    its own, so only counts are repeated per label, and they are written once.
+    """
     long = unpivot(df, [label], features).where(F.col("value").isNotNull())
-    own = long.join(
-        top.select(F.col("label").alias(label), "feature", F.lit(1).alias("_t")),
-        [label, "feature"], "left_semi",
-    ).withColumn("side", F.lit("this"))
-    wanted = top.select("feature", F.col("label").alias("_of"))
-    other = long.join(wanted, "feature").where(F.col(label) != F.col("_of"))
-    other = other.select(F.col("_of").alias(label), "feature", "value",
-                         F.lit("others").alias("side"))
-    rows = own.select(label, "feature", "value", "side").unionByName(other)
+    counts = long.groupBy(label, "feature", F.col("value").cast("double").alias("value"))
+    counts = cut_lineage(counts.agg(F.count("*").alias("_n")), "value_counts")
+    asked = top.select(F.col("label").alias("_of"), F.col("feature").alias("_f")).distinct()
+    asked = cut_lineage(asked, "asked")
+    on_own = (F.col(label) == F.col("_of")) & (F.col("feature") == F.col("_f"))
+    own = counts.join(asked, on_own).select("_of", "feature", "value", "_n")
+    total = counts.groupBy("feature", "value").agg(F.sum("_n").alias("_n"))
+    every = total.join(asked, F.col("feature") == F.col("_f")).select("_of", "feature", "value", "_n")
+    rest = every.unionByName(own.withColumn("_n", -F.col("_n")))
+    rest = rest.groupBy("_of", "feature", "value").agg(F.sum("_n").alias("_n")).where("_n > 0")
+    rows = own.withColumn("side", F.lit("this")).unionByName(rest.withColumn("side", F.lit("others")))
     keys = [label, "feature", "side"]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    quarters = exact_quantiles(rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
-    return counts.join(quarters, keys).where(F.col("n") >= 3)
+    rows = cut_lineage(rows.withColumnRenamed("_of", label), "sides")
+    sizes = rows.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    quarters = exact_quantiles(
+        rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, weight="_n"
+    )
+    return sizes.join(quarters, keys).where(F.col("n") >= 3)
 
 
 def ramping(df: DataFrame, features: Sequence[str], label: str = "label",
@@ -556,7 +566,7 @@ def sample_per_cluster(df: DataFrame, n: int, strategy: str = "random", key: str
         return sized.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop(
             "_i", "_size"
         )
-    placed = numbered(sized, [label], key, [key], "_i", 1024)
+    placed = numbered(sized, [label], key, [key], "_i")
     i, size = F.col("_i"), F.col("_size")
     if strategy == "spread":
         step = F.greatest(F.floor(size / F.lit(n)), F.lit(1))

@@ -18,7 +18,7 @@ def distances(x):
     return np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
 
 
-@pytest.mark.parametrize("block_rows", [5, 16, 4096])
+@pytest.mark.parametrize("block_rows", [16, 4096])
 def test_knn_is_exact_over_blocks(spark, block_rows):
     x = np.random.default_rng(1).normal(size=(60, 4))
     x[40:50] = x[3]  # copies
@@ -48,7 +48,7 @@ def reference_scores(x, lab):
     return np.mean(sil), inter / intra
 
 
-@pytest.mark.parametrize("block_rows", [7, 4096])
+@pytest.mark.parametrize("block_rows", [16, 4096])
 def test_pair_scores_are_exact_over_blocks(spark, block_rows):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 3))
