@@ -206,7 +206,7 @@ def test_trie_counts_match_plain_dynamic_programme():
 def test_rules_and_parts(spark):
     pages = [(1, "HTTP://A.Example.ORG/es/x?y"), (2, "https://x.com/de/1#f"), (3, None), (4, "no scheme"), (5, "http://b.net?x"),
              (6, "http://example.org/en/12"), (7, "http://notexample.org.net/es/")]
-    labelled = spark.createDataFrame(list(url_filter.LABELLED), "url string, label int")
+    labelled = spark.createDataFrame(url_filter.labelled_addresses(), "url string, label int")
     df = spark.createDataFrame(pages, "page_id long, url string")
     got = {r["page_id"]: r for r in url_filter.judge(df, labelled).collect()}
     assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == ("a.example.org", "/es/x", "example.org/es/")
