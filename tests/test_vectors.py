@@ -193,3 +193,12 @@ def test_tree_cells_hold_their_rows(spark):
             node = nodes[r.cell[:size]]
             assert np.linalg.norm(np.array(r.vec) - node.pivot) <= node.radius + 1e-9
             assert node.is_leaf == (size == len(r.cell))
+
+
+def test_silhouette_looks_at_few_labels(spark):
+    x, lab = clumps(), np.repeat(np.arange(12), 40)
+    df = points(spark, x, lab)
+    sums = K.silhouette_sums(df, ["param_id"], 16)
+    assert sums.count() < 3 * len(x)  # of 12 labels: the own one and those that may be nearest
+    sil, _ = reference_scores(x, [str(v) for v in lab])
+    assert K.silhouette(df, ["param_id"], block_rows=16).first().silhouette == pytest.approx(sil)
