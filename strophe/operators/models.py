@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strophe.functions.distributed import numbered
 from strophe.functions.scalars import array_sum
 from strophe.operators.features import anova
 from strophe.session import cut_lineage
@@ -127,8 +128,34 @@ def pca_report(df: DataFrame, features: Sequence[str], label: str = "label",
     return loaded, anova(projected, [f"pc{j + 1}" for j in range(k)], label)
 
 
-def fold_of(key: Column, folds: int, seed: int = 42) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
+def with_folds(rows: DataFrame, label: str, key: Column, folds: int, seed: int = 42) -> DataFrame:
+    """Add ``_fold``: the rows of every label dealt out in turn, in the order of a hash of ``key``.
+
+    A label with as many rows as there are folds is in each of them. Places are counted over bins
+    of the hash, so no task orders a label.
+    """
+    hashed = rows.withColumns({"_key": key, "_hash": F.xxhash64(key, F.lit(seed))})
+    placed = numbered(hashed, [label], "_hash", ["_hash", "_key"], "_place")
+    fold = F.pmod(F.col("_place"), F.lit(folds)).cast("int")
+    return placed.withColumn("_fold", fold).drop("_key", "_hash", "_place")
+
+
+def _standardized(moments: pd.DataFrame, p: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Moments of the features less their mean over the population deviation; both are returned."""
+    parts = [_split(m, p) for m in moments["m"]]
+    n = moments["n"].to_numpy(np.float64)
+    mean = sum(s for s, _ in parts) / n.sum()
+    # centred before the difference of squares is taken of the whole
+    centred = [
+        (s - k * mean, ss - np.outer(mean, s) - np.outer(s, mean) + k * np.outer(mean, mean))
+        for k, (s, ss) in zip(n, parts, strict=True)
+    ]
+    scale = np.sqrt(np.maximum(np.diag(sum(ss for _, ss in centred)) / n.sum(), 0.0))
+    scale[scale == 0] = 1.0
+    scaled = [
+        np.concatenate([s / scale, (ss / np.outer(scale, scale)).ravel()]) for s, ss in centred
+    ]
+    return moments.assign(m=scaled), mean, scale
 
 
 class _Discriminant:
@@ -176,13 +203,16 @@ def _fit(moments: pd.DataFrame, label: str, p: int) -> _Discriminant:
 
 def lda_report(df: DataFrame, features: Sequence[str], label: str = "label",
                key: str | Column = "id", folds: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Coefficients with explained ratios, ANOVA of the discriminants, accuracy per fold."""
+    """Coefficients with explained ratios, ANOVA of the discriminants, accuracy per fold.
+
+    Features are standardised, so coefficients compare; folds are stratified by label.
+    """
     p = len(features)
     key = F.col(key) if isinstance(key, str) else key
-    rows = complete_rows(df, features, label).withColumns(
-        {"_fold": fold_of(key, folds), label: F.col(label).cast("string")}
-    )
+    rows = complete_rows(df, features, label).withColumn(label, F.col(label).cast("string"))
+    rows = with_folds(rows, label, key, folds)
     moments = group_moments(rows, features, ["_fold", label])
+    moments, mean, scale = _standardized(moments, p)
     whole = _fit(moments, label, p)
     table = [
         (f"ld{j + 1}", f, float(whole.scalings[i, j]), float(whole.ratio[j]))
@@ -195,7 +225,7 @@ def lda_report(df: DataFrame, features: Sequence[str], label: str = "label",
     names = [f"ld{j + 1}" for j in range(whole.scalings.shape[1])]
     projected = rows.where(F.col(label).isin(whole.labels)).select(
         label, *[c.alias(n) for n, c in zip(names, _projection(
-            features, whole.grand, whole.scalings))]
+            features, mean, whole.scalings / scale[:, None]))]
     )
     models = {f: _fit(moments[moments["_fold"] != f], label, p)
               for f in sorted(moments["_fold"].unique())}
@@ -205,7 +235,7 @@ def lda_report(df: DataFrame, features: Sequence[str], label: str = "label",
             out = []
             for fold, part in pdf.groupby("_fold", sort=False):
                 model = models[fold]
-                x = np.stack(part["_x"].to_numpy()).astype(np.float64)
+                x = (np.stack(part["_x"].to_numpy()).astype(np.float64) - mean) / scale
                 best = (x @ model.coef.T + model.intercept).argmax(axis=1)
                 hit = np.asarray(model.labels)[best] == part["_y"].to_numpy()
                 out.append((int(fold), len(part), int(hit.sum())))
@@ -222,7 +252,8 @@ def lda_report(df: DataFrame, features: Sequence[str], label: str = "label",
 
 def _forest_rows(df: DataFrame, features: Sequence[str], label: str, key: Column, folds: int):
     """Complete rows as vectors with label number and fold, written once for all fits."""
-    rows = complete_rows(df, features, label).withColumn("_fold", fold_of(key, folds))
+    rows = complete_rows(df, features, label)
+    rows = with_folds(rows, label, key, folds) if folds > 1 else rows.withColumn("_fold", F.lit(0))
     rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
     rows = StringIndexer(inputCol=label, outputCol="_y").fit(rows).transform(rows)
     return cut_lineage(rows.select("_x", "_y", "_fold", label, *features), "forest_rows")

@@ -181,3 +181,17 @@ def test_registered_forests_are_whole(spark, sf, monkeypatch):
     Q.forest_report(spark, sf)
     Q.tops(spark, sf)
     assert asked == [(100, 30, 5)] * 2
+
+
+def test_folds_are_stratified_and_coefficients_compare(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], float(rng.normal(2 * (i % 2))), float(1000 * rng.normal(2 * (i % 2)) + 1e6)) for i in range(200)]
+    rows += [(200 + i, "rare", float(rng.normal(9)), float(rng.normal(1e6))) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, label string, x double, y double")
+    folds = M.with_folds(df, "label", F.col("id"), 5).groupBy("label", "_fold").count().collect()
+    assert {(r["label"], r["_fold"]): r["count"] for r in folds} == {
+        (lab, f): n for lab, n in (("a", 20), ("b", 20), ("rare", 1)) for f in range(5)}
+    plain, _, hits = M.lda_report(df.where("label <> 'rare'"), ["x", "y"])
+    got = {r.feature: r.coefficient for r in plain.collect()}
+    assert 0.3 < got["y"] / got["x"] < 3  # not a thousandth
+    assert hits.agg(F.avg("accuracy")).first()[0] > 0.8
