@@ -135,6 +135,8 @@ def with_folds(rows: DataFrame, label: str, key: Column, folds: int, seed: int =
     of the hash, so no task orders a label.
     """
     hashed = rows.withColumns({"_key": key, "_hash": F.xxhash64(key, F.lit(seed))})
+    # written first: conditions on many computed features take the optimizer minutes in a join
+    hashed = cut_lineage(hashed, "keyed")
     placed = numbered(hashed, [label], "_hash", ["_hash", "_key"], "_place")
     fold = F.pmod(F.col("_place"), F.lit(folds)).cast("int")
     return placed.withColumn("_fold", fold).drop("_key", "_hash", "_place")
