@@ -166,21 +166,32 @@ def test_registered_forests_are_whole(spark, sf, monkeypatch):
     from strophe.plans import model_queries as Q
 
     asked = []
+    table = spark.createDataFrame([("c0", 1.0, 1, 2.0)],
+                                  "feature string, importance double, rank int, f_statistic double")
 
     def forest(df, features, label="label", key="id", trees=None, depth=None, folds=None):
         asked.append((trees, depth, folds))
-        table = df.sparkSession.createDataFrame([("a", 1.0)], "feature string, importance double")
         return table, [1.0]
 
-    first = spark.createDataFrame([("ld1", "a", 1.0)],
+    def importances(df, features, label="label", trees=None, depth=None):
+        asked.append((trees, depth))
+        return table
+
+    first = spark.createDataFrame([("ld1", "c0", 1.0)],
                                   "discriminant string, feature string, coefficient double")
     hits = spark.createDataFrame([(1.0,)], "accuracy double")
-    assert inspect.signature(M.forest_report).parameters["depth"].default == 30
+    for operator in (M.forest_report, M.forest_importances):
+        defaults = inspect.signature(operator).parameters
+        assert (defaults["trees"].default, defaults["depth"].default) == (100, 30)
     monkeypatch.setattr(M, "forest_report", forest)
+    monkeypatch.setattr(M, "forest_importances", importances)
     monkeypatch.setattr(M, "lda_report", lambda rows, features: (first, None, hits))
-    Q.forest_report(spark, sf)
-    Q.tops(spark, sf)
-    assert asked == [(100, 30, 5)] * 2
+    monkeypatch.setattr(M, "recommend_features", lambda *args: None)
+    for query in (Q.forest_report, Q.compare_methods):
+        query(spark, sf)
+    for query in (Q.consensus, Q.recommend_features, Q.forest_importances):
+        query(spark, sf)
+    assert asked == [(100, 30, 5)] * 2 + [(100, 30)] * 3
 
 
 def test_folds_are_stratified_and_coefficients_compare(spark):
