@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.llm.common import load
+from strophe.session import cut_lineage
 
 #: Texts are compressed in windows of so many bytes, so a dictionary helps all along a long text.
 WINDOW = 512
@@ -22,9 +24,10 @@ THRESHOLD = 0.3
 DAMPING = 0.05
 #: One in so many sampled rows calibrates, the others train the dictionaries.
 CALIBRATE = 4
-#: Bounds of the training sample: labelled rows of each class, and characters of each of them.
+#: Bounds of the training sample: labelled rows of each class, and windows of each text, drawn by
+#: hash from the whole text. Calibration takes whole texts.
 SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 16_384
+SAMPLE_WINDOWS = 32
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,12 +72,49 @@ def difference(text: str | None, good, bad) -> float:
     return (b - a) / (a + b) if parts else 0.0
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    samples = [w for t in texts for w in windows(t) if len(w) >= 8]
+def _dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[:DICTIONARY]  # too few samples to train on: use them as they are
+        # too few samples to train on: use them as they are, in the order of their hashes
+        return b"".join(samples)[:DICTIONARY]
+
+
+def _drawn_windows(count: int):
+    """Of every text at most ``count`` windows of at least 8 bytes, by their hash."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, quality in zip(batch.column("text"), batch.column("quality"), strict=True):
+                found = sorted(
+                    (xxhash.xxh64_intdigest(w, i) >> 1, w)
+                    for i, w in enumerate(windows(text.as_py()))
+                    if len(w) >= 8
+                )[:count]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([quality.as_py()] * len(found), pa.int32()),
+                        pa.array([key for key, _ in found], pa.int64()),
+                        pa.array([w for _, w in found], pa.binary()),
+                    ],
+                    names=["quality", "key", "piece"],
+                )
+
+    return draw
+
+
+def _differences(shared):
+    """Label and difference of every whole text."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, bad = shared.value.compressors()
+        for batch in batches:
+            found = [difference(t.as_py(), good, bad) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("quality"), pa.array(found, pa.float64())], names=["quality", "x"]
+            )
+
+    return measure
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -92,18 +132,25 @@ def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, floa
     return float(beta[0]), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    rows: int = SAMPLE_ROWS,
+    windows_of_text: int = SAMPLE_WINDOWS,
+) -> Model:
     """Fit to a sample of the labelled rows of ``docs`` that are not held out.
 
-    Of each class at most ``rows`` rows are drawn, by the hash of their id, and of each text
-    SAMPLE_CHARS characters. Three quarters train the dictionaries, the others the calibration;
-    the classes count there as often as they occur. Without rows of both classes all scores are
-    the share of label 1, or one half.
+    Of each class at most ``rows`` rows are drawn, by the hash of their id. Three quarters train the
+    dictionaries, each with at most ``windows_of_text`` windows drawn from its whole text; the
+    others, as whole texts, calibrate: the classes count there as often as they occur. The driver
+    gets the drawn windows and one number of every calibrating text. A document labelled twice takes
+    the larger label; rows that repeat a labelled id are one draw, the smallest text of it. Without
+    rows of both classes, as in empty tables, all scores are the share of label 1, or one half.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
         .groupBy("doc_id")
-        .agg(F.max("quality").alias("quality"))
+        .agg(F.max("quality").cast("int").alias("quality"))
         .where(~held_out(F.col("doc_id")))
     )
     counted = known.groupBy("quality").agg(F.count("*").alias("n")).collect()
@@ -115,21 +162,38 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         for q in (0, 1)
     ]
     ids = picked[0].unionByName(picked[1])
-    sample = (
-        docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    sample = cut_lineage(
+        docs.select("doc_id", "text")
         .join(F.broadcast(ids), "doc_id")  # 2 * rows ids
-        .select("text", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0).cast("int").alias("half"))
-        .collect()
+        .groupBy("doc_id", "quality")
+        .agg(F.min("text").alias("text"))
+        .select("text", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0).alias("calibrates")),
+        "sample",
+    )
+    drawn = (
+        sample.where("NOT calibrates")
+        .select("quality", "text")
+        .mapInArrow(_drawn_windows(windows_of_text), "quality int, key long, piece binary")
+        .collect()  # at most 2 * rows * windows_of_text windows
     )
-    texts = {(q, h): sorted(r["text"] or "" for r in sample if r["quality"] == q and r["half"] == h)
-             for q in (0, 1) for h in (0, 1)}
+    ordered = sorted((r["key"], bytes(r["piece"]), r["quality"]) for r in drawn)
+    pieces = {q: [w for _, w, quality in ordered if quality == q] for q in (0, 1)}
     n = totals.get(0, 0) + totals.get(1, 0)
     share = (totals.get(1, 0) + 0.5) / (n + 1)
-    if not all(texts.values()):
-        return Model(b"\0" * 8, b"\0" * 8, 0.0, float(np.log(share / (1 - share))))
-    model = Model(_dictionary(texts[1, 0]), _dictionary(texts[0, 0]), 0.0, 0.0)
-    good, bad = model.compressors()
-    x = [np.array([difference(t, good, bad) for t in texts[q, 1]]) for q in (0, 1)]
+    flat = Model(b"\0" * 8, b"\0" * 8, 0.0, float(np.log(share / (1 - share))))
+    if not all(pieces.values()):
+        return flat
+    model = Model(_dictionary(pieces[1]), _dictionary(pieces[0]), 0.0, 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    measured = (
+        sample.where("calibrates")
+        .select("quality", "text")
+        .mapInArrow(_differences(shared), "quality int, x double")
+        .collect()  # at most 2 * rows numbers
+    )
+    x = [np.sort([r["x"] for r in measured if r["quality"] == q]) for q in (0, 1)]
+    if not len(x[0]) or not len(x[1]):
+        return flat
     weight = [np.full(len(x[q]), totals[q] / len(x[q])) for q in (0, 1)]
     y = np.concatenate([np.zeros(len(x[0])), np.ones(len(x[1]))])
     return Model(model.good, model.bad, *_calibrate(np.concatenate(x), y, np.concatenate(weight)))
@@ -138,8 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` and score, predicted: one pass, no shuffle.
 
-    A null or empty text gets the score of no difference. Columns named score or predicted are
-    replaced.
+    A null or empty text gets the score of no difference, and equal texts get equal scores; repeated
+    rows stay, an empty table gives an empty one. Very long texts are scored whole, window by window.
+    Columns named score or predicted are replaced, others of any type are carried.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
