@@ -22,6 +22,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def row_hash(columns: list[str]) -> Column:
+    """A number made from the named columns, whatever their type: maps can't be ordered or hashed."""
+    return F.xxhash64(F.to_json(F.struct(*columns))) if columns else F.lit(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import ascii_lower, load, text_or_empty
+from strophe.llm.common import ascii_lower, load, row_hash, text_or_empty
 from strophe.session import cut_lineage
 
 #: A chunk ends after 1,024 characters at the next line end or sentence end, or after 8,192.
@@ -88,7 +88,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Of rows that agree in doc_id and text, the one with the smallest other columns stays.
+    Of rows that agree in doc_id and text, the one with the smallest hash of the other columns
+    stays; these may have any type.
     """
     stay = exact_groups(docs).where("kept").select(
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
@@ -100,7 +101,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
         "left_semi",
     )
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    window = Window.partitionBy("doc_id", "__own_sha").orderBy(*others, "text")
+    window = Window.partitionBy("doc_id", "__own_sha").orderBy(row_hash(others), "text")
     return found.withColumn("__nth", F.row_number().over(window)).where("__nth = 1").select(
         *docs.columns
     )

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import load
+from strophe.llm.common import load, row_hash
 from strophe.llm.components import components
 from strophe.llm.shingles import mix, shingle_sets
 from strophe.session import cut_lineage
@@ -483,11 +483,13 @@ def _checked(
     first = (
         known.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("__first"))
+        .agg(F.min(F.struct("doc_id", "tie")).alias("__first"))
         .join(ends, "node")
+        .select("node", F.col("__first.doc_id").alias("__id"), F.col("__first.tie").alias("__tie"))
     )
-    texts = docs.select("doc_id", "text").join(
-        first, F.col("doc_id").eqNullSafe(F.col("__first"))
+    # id and text hash together: rows without an id, or with the same one, don't meet each other
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__own")).join(
+        first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie"))
     )
     whole = cut_lineage(_sets(texts.select("node", "text"), width), "sets").dropDuplicates(["node"])
     one = whole.select(
@@ -618,7 +620,7 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     """One row of each component of ``docs``, with all columns.
 
     The smallest doc_id stays, a null one only without another; then the smallest text hash and
-    other columns decide. Documents without words all stay.
+    a hash of the other columns, of any type, decide. Documents without words all stay.
     """
     found = cut_lineage(classes(docs, width, num, den), "classes")
     winner = (
@@ -633,7 +635,7 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     stay = winner.unionByName(wordless).distinct()
     named = docs.withColumn("__own", F.xxhash64("text"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    same = Window.partitionBy("doc_id", "__own").orderBy(*others, F.lit(1))
+    same = Window.partitionBy("doc_id", "__own").orderBy(row_hash(others))
     return (
         named.join(
             stay,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import WORD, load, part_of, running_start
+from strophe.llm.common import WORD, load, part_of, row_hash, running_start
 from strophe.session import cut_lineage
 
 BLOCK = 256
@@ -263,7 +263,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     A pass that takes all words of a document keeps its text; one that takes some keeps the
     taken words, one space between, and n_chars follows. Documents of which nothing is taken, as
-    those without words, go.
+    those without words, go. Rows that agree in doc_id, text and source are told apart by a hash of
+    their other columns, which may have any type.
     """
     mixed = mix(docs.select("doc_id", "text", "source"), **settings)
     runs = mixed.pieces.groupBy("src", "o", "pass").agg(
@@ -284,7 +285,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     named = docs.withColumn("__own", F.xxhash64("text")).withColumn(
         "__dup",
         F.row_number().over(
-            Window.partitionBy("doc_id", "__own", "source").orderBy(*others, F.lit(1))
+            Window.partitionBy("doc_id", "__own", "source").orderBy(row_hash(others))
         ),
     )
     joined = named.join(
