@@ -2,6 +2,7 @@
 
 from strophe.plans import (  # noqa: F401
     array_queries,
+    chain_queries,
     feature_queries,
     model_queries,
     pedigree_queries,

@@ -170,11 +170,14 @@ def pair_sets(spark, sf_dir):
     return rows.select("s.param_id", "id", "s.vec")
 
 
-def embedded_pairs(spark, sf_dir):
-    grid = spark.createDataFrame(
+def pair_grid(spark):
+    return spark.createDataFrame(
         [(f"pair{i}", 2, False) for i in range(PAIRS)], "param_id string, k int, scale boolean"
     )
-    return V.embed_grid(pair_sets(spark, sf_dir), grid).select(
+
+
+def embedded_pairs(spark, sf_dir):
+    return V.embed_grid(pair_sets(spark, sf_dir), pair_grid(spark)).select(
         "param_id", "id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")
     )
 
