@@ -14,7 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strophe.functions.distances import differences, phase, unwrap, unwrapped_steps
+from strophe.functions.distances import (
+    differences,
+    neighbouring_rows,
+    phase,
+    unwrap,
+    unwrapped_steps,
+    wrapped,
+)
 from strophe.functions.scalars import array_sum, ratio
 
 
@@ -175,16 +182,10 @@ def instantaneous_frequency(phases: Column) -> Column:
 
 
 def group_delay_along(phases: Column) -> Column:
-    """Negative steps of the phase unwrapped along frequency."""
-    width = F.size(F.get(phases, F.lit(0)))
-    columns = F.transform(
-        F.sequence(F.lit(0), width - 1),
-        lambda t: unwrapped_steps(F.transform(phases, lambda row: F.get(row, t))),
-    )
-    height = F.size(phases) - 1
-    return F.transform(
-        F.sequence(F.lit(0), height - 1),
-        lambda f: F.transform(columns, lambda col: -F.get(col, f)),
+    """Negative steps of the phase unwrapped along frequency: row against row, once over the matrix."""
+    upper, lower = neighbouring_rows(phases)
+    return F.zip_with(
+        upper, lower, lambda a, b: F.zip_with(a, b, lambda x, y: -wrapped(y - x))
     )
 
 

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.functions.distributed import beside, exact_quantiles, numbered, with_totals
-from strophe.functions.scalars import array_sum, ratio
+from strophe.functions.scalars import ratio
 from strophe.functions.tails import f_tail
 from strophe.operators.scores import ari, nmi
-from strophe.operators.vectors import hash_order
+from strophe.operators.vectors import blocks, hash_order, split_sides
 from strophe.operators.wide import correlations  # noqa: F401 - one of the feature reports
 from strophe.params import NOISE
 from strophe.session import cut_lineage
@@ -394,32 +396,60 @@ def cluster_profile(df: DataFrame, features: Sequence[str], label: str = "label"
     )
 
 
-def profile_distance(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def profile_distance(
+    profile: DataFrame, by: Sequence[str] = (), within: float | None = None, rows: int = 256
+) -> DataFrame:
     """Euclidean distance between the mean vectors of two labels.
 
-    The profile of a group is one row per label and feature; each label is laid beside the list of
-    all labels of its group.
+    The profile of a group is one row per label and feature; a label with a null mean has no
+    distance. The labels of a group are dealt into blocks of about ``rows``, a task compares two
+    blocks. ``within`` keeps only pairs up to that distance, which never leave the task otherwise.
     """
-    means = profile.groupBy(*by, "label").agg(
+    by = list(by)
+    means = profile.where(F.col("label").isNotNull()).groupBy(*by, "label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("feature", "mean"))),
                     lambda s: s["mean"]).alias("v"),
         F.min(F.col("mean").isNotNull()).alias("whole"),
-    ).where("whole")
-    listed = F.collect_list(F.struct(F.col("label").alias("label2"), F.col("v").alias("v2")))
-    frame = means.groupBy(*by).agg(
-        listed.alias("_to"),
-        F.collect_list(F.struct(F.col("label").alias("label1"), F.col("v").alias("v1"))).alias(
-            "_from"
-        ),
-    )
-    pairs = frame.select(*by, "_to", F.inline("_from")).select(
-        *by, "label1", "v1", F.inline("_to")
-    )
-    squares = F.zip_with("v1", "v2", lambda a, b: (a - b) * (a - b))
-    return pairs.where(F.col("label1") < F.col("label2")).select(
-        *by, "label1", "label2", F.sqrt(array_sum(squares)).alias("distance")
+    ).where("whole").drop("whole")
+    dealt = blocks(means, by, "label", rows)
+    fields = {f.name: f for f in means.schema.fields}
+    schema = T.StructType(
+        [
+            *[fields[c] for c in by],
+            *[T.StructField(f"label{i}", fields["label"].dataType) for i in (1, 2)],
+            T.StructField("distance", T.DoubleType()),
+        ]
     )
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = split_sides(pdf)
+        names, own = right["label"].to_numpy(object), left["label"].to_numpy(object)
+        inside = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
+        low, high, distance = [], [], []
+        if len(left) and len(right):
+            vectors = np.stack(right["v"].to_numpy()).astype(float)
+            for label, v in zip(own, left["v"], strict=True):
+                found = np.sqrt(((vectors - np.asarray(v, float)) ** 2).sum(axis=1))
+                keep = names > label if inside else np.ones(len(names), bool)
+                if within is not None:
+                    keep = keep & (found <= within)
+                # of two blocks either label may be the smaller one
+                low += [min(label, other) for other in names[keep]]
+                high += [max(label, other) for other in names[keep]]
+                distance += found[keep].tolist()
+        made = pd.DataFrame(
+            {
+                "label1": pd.Series(low, dtype=object),
+                "label2": pd.Series(high, dtype=object),
+                "distance": np.array(distance, float),
+            }
+        )
+        for c in by:
+            made[c] = pd.Series([pdf[c].iloc[0]] * len(made), dtype=object)
+        return made[[f.name for f in schema.fields]]
+
+    return dealt.groupBy(*by, "bi", "bj").applyInPandas(compare, schema)
+
 
 def variation(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """Coefficient of variation std / |mean| where n > 1 and the mean is not 0."""

@@ -36,13 +36,21 @@ def subsample_rows(
 ) -> DataFrame:
     """``n`` rows without replacement, of the whole table or of every group.
 
-    Only the first ``n`` rows of each task reach the shuffle.
+    ``key`` names a row within its group. Keys alone are ordered, the first ``n`` of each task or
+    group; the rows themselves only meet the drawn keys.
     """
     order = hash_order(F.col(key), seed)
     if not by:
-        return df.orderBy(order).limit(n)
+        drawn = df.select(F.col(key).alias("_key")).orderBy(hash_order(F.col("_key"), seed)).limit(n)
+        return df.join(drawn, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     rank = F.row_number().over(W.partitionBy(*by).orderBy(order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    drawn = df.select(*by, key).withColumn("_rank", rank).where(F.col("_rank") <= n)
+    names = {c: f"_by_{c}" for c in by} | {key: "_key"}
+    drawn = drawn.select(*[F.col(c).alias(name) for c, name in names.items()])
+    same = F.lit(True)
+    for c, name in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    return df.join(drawn, same, "left_semi")
 
 
 def subsample_by_song(
