@@ -511,6 +511,33 @@ def _checked(
     )
 
 
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) when ``links`` (a, b) join further the components that ``roots`` holds.
+
+    Only the roots that a link joins are contracted anew, so later rounds work on few edges.
+    """
+    if roots is None:
+        return components(links)
+    ends = links
+    for side in ("a", "b"):
+        known = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        ends = ends.join(known, side, "left")
+    moved = cut_lineage(
+        components(
+            ends.select(
+                F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
+            )
+        ),
+        "moved",
+    )
+    onto = moved.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return (
+        roots.join(onto, "root", "left")
+        .select("node", F.coalesce("new", "root").alias("root"))
+        .unionByName(moved.join(roots, "node", "left_anti"))
+    )
+
+
 def _roots(
     docs: DataFrame, known: DataFrame, sketches: DataFrame, width: int, num: int, den: int
 ) -> DataFrame:
@@ -521,13 +548,11 @@ def _roots(
     links found so far, every two labels offer their closest pairs, sixteen times as many in each
     round, until no pair that could join two labels is left out.
     """
-    todo, quota, links = sketches.withColumn("label", F.col("node")), 0, None
+    todo, quota, roots = sketches.withColumn("label", F.col("node")), 0, None
     while True:
         pairs = cut_lineage(candidate_pairs(todo, num, den, quota), "pairs")
         checked = cut_lineage(_checked(docs, known, pairs, width, num, den), "checked")
-        new = checked.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        roots = cut_lineage(components(links), "roots")
+        roots = cut_lineage(_merged(roots, checked.where("linked").select("a", "b")), "roots")
         open_trees = (
             checked.groupBy("t", "u")
             .agg(F.bool_or("more").alias("more"), F.bool_and("linked").alias("all"))
