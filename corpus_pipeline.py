@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No SQL states a trained score or token ids; no test covers the stages or their chain yet.
+#: No SQL states a trained score or token ids; tests hold the stages and their chain against plain versions.
 ORACLE_SQL = None
 
 
