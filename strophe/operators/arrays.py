@@ -383,7 +383,10 @@ def mean_matrix(df: DataFrame, width: int, label: str = "label", order: str = "i
 
 
 def concat_slices(df: DataFrame, by: str = "segment_id", order: str = "slice") -> DataFrame:
-    """Slices of one segment joined along time, row by row of their matrices."""
+    """Slices of one segment joined along time, row by row of their matrices.
+
+    ``slices`` names the slice of every column, as a segment may lack some.
+    """
     held = df.groupBy(by).agg(
         F.array_sort(F.collect_list(F.struct(order, "spec"))).alias("_s")
     )
@@ -394,4 +397,9 @@ def concat_slices(df: DataFrame, by: str = "segment_id", order: str = "slice") -
             F.sequence(F.lit(0), height - 1),
             lambda f: F.flatten(F.transform("_s", lambda s: F.get(s["spec"], f))),
         ).alias("spec"),
+        F.flatten(
+            F.transform(
+                "_s", lambda s: F.array_repeat(s[order], F.size(F.get(s["spec"], F.lit(0))))
+            )
+        ).alias("slices"),
     )

@@ -6,6 +6,7 @@ from strophe.functions.distances import unwrap
 from strophe.operators import arrays as A
 from strophe.operators import frames as FR
 from strophe.params import EmbeddingParams, SpectrogramParams
+from strophe.plans import array_queries as Q
 
 
 def one(spark, **arrays):
@@ -116,3 +117,15 @@ def test_parameters_are_checked():
             SpectrogramParams(**bad)
     with pytest.raises(ValueError):
         EmbeddingParams(min_dist=2)
+
+
+def test_concat_slices_keeps_the_places_of_a_segment_without_all_slices(spark, tmp_path):
+    vectors = [(i, [float(100 * i + j) for j in range(64)], 0) for i in (0, 1, 2, 3, 4, 5, 7)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(
+        f"{tmp_path}/embeddings.parquet"
+    )
+    found = {(r["id"], r["i"]): r["value"] for r in Q.concat_slices(spark, str(tmp_path)).collect()}
+    assert found == {
+        (i // 5, (j // 8) * 40 + (i % 5) * 8 + j % 8): float(100 * i + j)
+        for i, _, _ in vectors for j in range(64)
+    }
