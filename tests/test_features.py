@@ -151,6 +151,25 @@ def test_consensus_and_recommendation(spark):
     assert {r.method: r.accuracy for r in methods.collect()} == {"forest": 0.9, "univariate": None}
 
 
+def test_forests_of_several_folds_grow_at_a_time(spark, monkeypatch):
+    import threading
+
+    df, *_ = labelled(spark)
+    both, grow = threading.Barrier(2), M._forest
+
+    class Waiting:
+        def __init__(self, *settings):
+            self.forest = grow(*settings)
+
+        def fit(self, rows):
+            both.wait(60)
+            return self.forest.fit(rows)
+
+    monkeypatch.setattr(M, "_forest", Waiting)
+    _, scores = M.forest_report(df, ["a", "b", "c"], trees=3, depth=3, folds=3)
+    assert len(scores) == 3 and min(scores) > 0.5
+
+
 @pytest.mark.parametrize("strategy", ["random", "spread", "representative"])
 def test_samples_per_cluster(spark, strategy):
     rows = [(i, "big" if i < 90 else "small" if i < 97 else "-1" if i < 110 else "tiny")
@@ -206,3 +225,9 @@ def test_folds_are_stratified_and_coefficients_compare(spark):
     got = {r.feature: r.coefficient for r in plain.collect()}
     assert 0.3 < got["y"] / got["x"] < 3  # not a thousandth
     assert hits.agg(F.avg("accuracy")).first()[0] > 0.8
+
+
+def test_forest_rows_of_one_file_are_dealt_out(spark):
+    df, *_ = labelled(spark)
+    rows = M._forest_rows(df.coalesce(1), ["a", "b"], "label", F.col("id"), 1)
+    assert rows.inputFiles() and len(rows.inputFiles()) == spark.sparkContext.defaultParallelism
