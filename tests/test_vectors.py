@@ -202,3 +202,14 @@ def test_silhouette_looks_at_few_labels(spark):
     assert sums.count() < 3 * len(x)  # of 12 labels: the own one and those that may be nearest
     sil, _ = reference_scores(x, [str(v) for v in lab])
     assert K.silhouette(df, ["param_id"], block_rows=16).first().silhouette == pytest.approx(sil)
+
+
+def test_blocks_grow_with_the_table_up_to_what_a_task_holds(spark):
+    def sized(n, width):
+        return spark.range(n).select("id", F.array_repeat(F.lit(0.5), width).alias("vec"))
+
+    assert V.block_size(sized(100, 3)) == V.BLOCK_ROWS
+    assert V.block_size(sized(80_000, 3)) == 80_000 // V.BLOCKS
+    assert V.block_size(sized(80_000, 512)) == V.BLOCK_CELLS // 512
+    tiles = list(V.distance_tiles(np.zeros((3, 2)), np.zeros((V.TILE_CELLS, 2))))
+    assert [len(dist) for _, dist in tiles] == [1, 1, 1]
