@@ -8,7 +8,7 @@ from strophe.functions.scalars import round_all
 from strophe.operators import segments as G
 from strophe.plans.bindings import r6, sql
 from strophe.plans.registry import query, table
-from strophe.session import scratch_path
+from strophe.session import cut_lineage, scratch_path
 from strophe.sources import ingest as I
 from strophe.sources import names as N
 from strophe.sources import stages as T
@@ -583,6 +583,7 @@ def upsert_paths(spark, sf_dir):
 def write_stage(spark, sf_dir):
     root = scratch_path(spark, "stage")
     rows = segments(spark, sf_dir).select("subject", "song_id", "event_id", "label")
+    rows = cut_lineage(rows, "segments")  # stored three times, made once
     T.write_stage(rows.where("label <> 'error' OR subject > 20"), root, "r1", "segments")
     T.write_stage(rows, root, "r1", "segments", overwrite=True)
     T.write_stage(rows, root, "r1", "segments", key=["event_id"])

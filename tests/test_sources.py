@@ -211,3 +211,23 @@ def test_transitions_of_songs_over_batches(spark, sf, split):
         return {(r.subject, r["from"], r.to): r.n for r in df.collect()}
 
     assert flat(ST.transition_totals(spark, target)) == flat(transitions(rows))
+
+
+def test_write_stage_query_makes_its_segments_once(spark, sf, monkeypatch):
+    from strophe.plans import segment_queries as Q
+
+    made = spark.sparkContext.accumulator(0)
+    schema = "subject long, song_id string, event_id long, label string"
+
+    def segments(spark, sf_dir):
+        def note(batches):
+            for pdf in batches:
+                made.add(len(pdf))
+                yield pdf
+
+        rows = [(i % 2, "s", i, "view") for i in range(6)]
+        return spark.createDataFrame(rows, schema).mapInPandas(note, schema)
+
+    monkeypatch.setattr(Q, "segments", segments)
+    assert Q.write_stage(spark, sf).count() == 6
+    assert made.value == 6
