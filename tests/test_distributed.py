@@ -40,3 +40,37 @@ def test_ranks_and_quantiles_are_exact(spark, descending):
         if len(known):
             assert found[g].mid == pytest.approx(np.quantile(known, 0.5))
             assert found[g].q1 == pytest.approx(np.quantile(known, 0.25))
+
+
+def test_few_groups_are_not_as_many_tasks(spark, monkeypatch):
+    written = {}
+    keep = D.cut_lineage
+
+    def cut(df, name="step"):
+        out = keep(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "cut_lineage", cut)
+    df = spark.range(20_000).selectExpr("id % 2 AS g", "cast(id AS double) AS v")
+    got = {r.g: r.mid for r in D.exact_quantiles(df, "v", {"mid": 0.5}, ["g"]).collect()}
+    assert got == {0: 9_999.0, 1: 10_000.0}
+    # every distinct value once, edges once a group and the bins of two ranks a group
+    assert written == {"counts": 20_000, "edges": 2, "asked_bins": written["asked_bins"]}
+    assert written["asked_bins"] <= 4
+    plan = D.with_bin(keep(df), ["g"], F.col("v"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "lambda" not in plan
+
+
+def test_bins_of_odd_values(spark):
+    values = [None, float("-inf"), -1e12, -0.5, 0.0, 0.0, 3.0, 1e12, float("inf"), float("nan")]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    placed = D.numbered(df, ["g"], "v", [F.col("v").asc_nulls_last()], "at").orderBy("at").collect()
+    assert [str(r.v) for r in placed] == [str(v) for v in [*values[1:], None]]
+
+
+def test_given_bins_number_like_found_ones(spark):
+    df = spark.range(2_000).select(F.xxhash64("id").alias("k"), (F.col("id") % 3).alias("g"))
+    found = D.numbered(df, ["g"], "k", ["k"], "at").collect()
+    given = D.numbered(df, ["g"], "k", ["k"], "at", F.shiftright("k", 48)).collect()
+    assert sorted(found) == sorted(given)

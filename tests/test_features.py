@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strophe.functions import distributed as D
 from strophe.functions.distributed import average_rank, exact_quantiles
 from strophe.functions.tails import f_tail_value, incomplete_beta
 from strophe.operators import features as X
@@ -231,3 +232,22 @@ def test_forest_rows_of_one_file_are_dealt_out(spark):
     df, *_ = labelled(spark)
     rows = M._forest_rows(df.coalesce(1), ["a", "b"], "label", F.col("id"), 1)
     assert rows.inputFiles() and len(rows.inputFiles()) == spark.sparkContext.defaultParallelism
+
+
+def test_lda_finds_its_folds_once(spark, monkeypatch):
+    written = {}
+    keep = M.cut_lineage
+
+    def cut(df, name="step"):
+        written[name] = df.columns
+        return keep(df, name)
+
+    monkeypatch.setattr(M, "cut_lineage", cut)
+    df = spark.range(60).selectExpr(
+        "id", "id % 2 AS label", "cast(id % 7 AS double) AS a", "cast(id * id % 11 AS double) AS b",
+        "'a text that no report needs' AS note",
+    )
+    _, _, accuracy = M.lda_report(df, ["a", "b"], folds=3)
+    assert written["keyed"] == ["label", "a", "b", "_key"]
+    assert "_fold" in written["folded"]
+    assert [r.n for r in accuracy.collect()] == [20, 20, 20]
