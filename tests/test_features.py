@@ -251,3 +251,25 @@ def test_lda_finds_its_folds_once(spark, monkeypatch):
     assert written["keyed"] == ["label", "a", "b", "_key"]
     assert "_fold" in written["folded"]
     assert [r.n for r in accuracy.collect()] == [20, 20, 20]
+
+
+def test_spread_repeats_no_values_per_label(spark, monkeypatch):
+    rows = {}
+
+    for module in (D, X):
+        def cut(df, name="step", keep=module.cut_lineage):
+            out = keep(df, name)
+            rows[name] = out.count()
+            return out
+
+        monkeypatch.setattr(module, "cut_lineage", cut)
+    df = spark.range(12_000).selectExpr("concat('l', id % 6) AS label", "id * 1.0D AS x")
+    top = spark.createDataFrame([(f"l{i}", "x") for i in range(6)], "label string, feature string")
+    got = {(r.label, r.side): r for r in X.discriminative_spread(df, top, ["x"]).collect()}
+    assert len(got) == 12 and got["l0", "this"].median == 5997.0
+    others = sorted(i for i in range(12_000) if i % 6)
+    assert got["l0", "others"].n == 10_000
+    assert got["l0", "others"].median == (others[4999] + others[5000]) / 2
+    # the values once; what is written besides depends on bins, not on rows and labels
+    assert rows["counts"] == 12_000 and "sides" not in rows
+    assert rows["asked_bins"] <= 12 * 6
