@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions.scalars import plogp
 from strophe.params import END, NOISE, START
+from strophe.session import cut_lineage
 
 SONG = ["subject", "song_id"]
 CHUNK = ["subject", "song_id", "chunk"]
@@ -220,14 +221,19 @@ def local_runs(seq: DataFrame) -> DataFrame:
     A run that goes on in the next chunk is still in two parts.
     """
     w = W.partitionBy(*CHUNK).orderBy("ord")
-    change = F.when(F.lag("label").over(w) != F.col("label"), 1).otherwise(0)
-    runs = (
-        seq.select(*CHUNK, "ord", "label", change.alias("change"))
-        .withColumn("island", F.sum("change").over(w.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*CHUNK, "island")
-        .agg(F.min("label").alias("label"), F.min("ord").alias("ord"), F.count("*").alias("length"))
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = seq.select(
+        *CHUNK, "ord", "label",
+        F.lag("label").over(w).alias("before"),
+        F.row_number().over(w).alias("_at"),
+        F.count("*").over(whole).alias("_size"),
     )
-    return with_neighbours(runs)
+    # runs keep the order of their first rows, so the chunk is sorted once
+    starts = rows.where((F.col("_at") == 1) | (F.col("before") != F.col("label")))
+    end = F.coalesce(F.lead("_at").over(w).cast("long"), F.col("_size") + 1)
+    return starts.withColumns(
+        {"after": F.lead("label").over(w), "length": end - F.col("_at")}
+    ).drop("_at", "_size")
 
 
 def with_neighbours(runs: DataFrame) -> DataFrame:
@@ -370,8 +376,12 @@ def transitions(
     Takes a sequence or a run table. Neighbours inside a chunk come from one window; neighbours
     across chunks from the first and last run of each.
     """
-    seq = merge_songs(seq, boundary) if "song_at" in seq.columns else seq
-    runs = seq if "length" in seq.columns else local_runs(seq)
+    if "song_at" in seq.columns:
+        merged = merge_songs(seq, boundary)
+        # the chunk of a merged song names the song, so the order inside it needn't
+        seq = merged if boundary == "song" else merged.withColumn("ord", F.col("ord.ord"))
+    # written: no task holds the sorted rows of a chunk and those between chunks at once
+    runs = seq if "length" in seq.columns else cut_lineage(local_runs(seq), "runs")
     counts = sequence_facts(runs, pairs_only=True).select(
         "subject", F.col("a").alias("from"), F.col("b").alias("to"), "n"
     )

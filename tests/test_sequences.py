@@ -212,3 +212,22 @@ def test_params_are_checked():
     with pytest.raises(ValueError):
         PhenotypeParams(min_repeat=1)
     assert math.isclose(PhenotypeParams().repeat_significance, 0.4)
+
+
+def test_a_chunk_is_sorted_once(spark, monkeypatch):
+    written = []
+
+    def cut(df, name="step"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        written.append((name, plan.count("Sort ["), plan.count("Aggregate(")))
+        return keep(df, name)
+
+    keep = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", cut)
+    songs = [list("aabbbac"), list("c"), list("caab")]
+    for size in (1, 2, 3, 100):
+        joined = [[x for song in songs for x in song]]
+        got = counts(S.transitions(make(spark, songs, size), "subject"))
+        assert got == expected_counts(joined)
+        assert counts(S.transitions(make(spark, songs, size))) == expected_counts(songs)
+    assert set(written) == {("runs", 1, 0)}
