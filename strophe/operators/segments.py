@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.session import cut_lineage
 
 SONG = ["subject", "song_id"]
 GAP = "gap"
+#: Slices that get their labels at a time.
+BLOCK = 128
 
 
 def format_offset_ms(sample_rate: float | Column) -> Column:
@@ -81,35 +84,61 @@ def _touched(segs: DataFrame, width_ms: float) -> DataFrame:
     return rows.where((inside | across) & (begin < F.col("last_offset")))
 
 
-def label_slices(segs: DataFrame, width_ms: float) -> DataFrame:
+def label_slices(segs: DataFrame, width_ms: float, neighbours: bool = False) -> DataFrame:
     """Slices labelled by what they overlap.
 
     A slice shared with the segment just before it takes both labels, joined; a slice without a
-    segment is a gap. Interval overlap becomes an equality on (song, slice).
+    segment is a gap. Interval overlap becomes an equality on (song, slice). Labels meet their slices
+    a block at a time, so most gaps are made where they are read and never shuffled. With
+    ``neighbours`` a column ``next_onset`` tells where the next slice of the song begins.
     """
-    w = W.partitionBy(*SONG, "slice").orderBy(F.col("pos").desc())
-    top = _touched(segs, width_ms).withColumn("_r", F.row_number().over(w)).where("_r <= 2")
-    held = top.groupBy(*SONG, "slice").agg(
+    # written: spans and overlaps read the segments, which may be costly
+    segs = cut_lineage(segs.select(*SONG, "pos", "onset", "offset", "label"), "segments")
+    block = [*SONG, "_block"]
+    touched = _touched(segs, width_ms).select(
+        *SONG, "pos", "label", "slice", F.floor(F.col("slice") / BLOCK).cast("int").alias("_block")
+    )
+    w = W.partitionBy(*block, "slice").orderBy(F.col("pos").desc())
+    top = touched.repartition(*block).withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+    held = top.groupBy(*block, "slice").agg(
         F.max_by("label", "pos").alias("_label"),
         F.max("pos").alias("_pos"),
         F.max(F.when(F.col("_r") == 2, F.struct("pos", "label"))).alias("_prev"),
     )
     joined = F.when(F.col("_prev.pos") == F.col("_pos") - 1, F.col("_prev.label"))
-    held = held.select(
-        *SONG, "slice", F.concat(F.coalesce(joined, F.lit("")), F.col("_label")).alias("label")
-    )
-    return make_slices(segs, width_ms).join(held, [*SONG, "slice"], "left").withColumn(
-        "label", F.coalesce("label", F.lit(GAP))
+    named = F.struct("slice", F.concat(F.coalesce(joined, F.lit("")), F.col("_label")))
+    held = held.groupBy(*block).agg(F.map_from_entries(F.collect_list(named)).alias("_labels"))
+    count = F.ceil((F.col("last_offset") - F.col("first_onset")) / width_ms).cast("int")
+    spans = song_spans(segs).withColumn("_count", count).where(F.col("_count") > 0)
+    last = F.floor((F.col("_count") - 1) / BLOCK).cast("int")
+    blocks = spans.withColumn("_block", F.explode(F.sequence(F.lit(0), last)))
+    start = F.col("_block") * BLOCK
+    numbers = F.sequence(start, F.least(start + BLOCK, F.col("_count")) - 1)
+    slices = blocks.join(held, block, "left").withColumn("slice", F.explode(numbers))
+    onset = F.col("first_onset") + F.col("slice") * width_ms
+    following = F.col("first_onset") + (F.col("slice") + 1) * width_ms
+    return slices.select(
+        *SONG, "slice",
+        onset.alias("slice_onset"),
+        (onset + width_ms).alias("slice_offset"),
+        F.coalesce(F.try_element_at("_labels", F.col("slice")), F.lit(GAP)).alias("label"),
+        *([F.when(F.col("slice") + 1 < F.col("_count"), following).alias("next_onset")]
+          if neighbours else []),
     )
 
 
 def slice_summary(slices: DataFrame) -> DataFrame:
-    """Slices per label with mean width and mean pause before the next slice of the song."""
-    rows = gaps(
-        slices.withColumnsRenamed(
-            {"slice": "pos", "slice_onset": "onset", "slice_offset": "offset"}
-        )
+    """Slices per label with mean width and mean pause before the next slice of the song.
+
+    Slices that know the onset of the next one are counted where they are.
+    """
+    rows = slices.withColumnsRenamed(
+        {"slice": "pos", "slice_onset": "onset", "slice_offset": "offset"}
     )
+    if "next_onset" in slices.columns:
+        rows = rows.withColumn("next_gap", F.col("next_onset") - F.col("offset"))
+    else:
+        rows = gaps(rows)
     return rows.groupBy("label").agg(
         F.count("*").alias("n"),
         F.avg(F.col("offset") - F.col("onset")).alias("mean_width"),

@@ -141,7 +141,7 @@ def label_slices(spark, sf_dir):
         AND lab.slice = bins.slice GROUP BY 1"""),
 )
 def slice_summary(spark, sf_dir):
-    out = G.slice_summary(G.label_slices(segments(spark, sf_dir), HOUR))
+    out = G.slice_summary(G.label_slices(segments(spark, sf_dir), HOUR, neighbours=True))
     return round_all(out, ["mean_width", "mean_pause"], 3)
 
 

@@ -78,3 +78,21 @@ def test_ids_and_offset(spark):
     assert row.segment_id == hashlib.sha256(b"s0_0").hexdigest() and row.duration_s == 0.5
     shifted = G.shift_times(make(spark, [[(0, 5, "a")]]), G.format_offset_ms(32000.0)).first()
     assert shifted.onset == 8.0
+
+
+def test_pauses_without_ordering_slices(spark):
+    # 300 slices, more than two blocks of labels, and a song of one slice
+    songs = [[(0, 10, "a"), (10, 25, "b"), (1290, 1300, "c"), (2980, 3000, "a")], [(7, 9, "d")]]
+    segs = make(spark, songs)
+    known = G.label_slices(segs, 10, neighbours=True)
+    rows = known.where("song_id = 's0'").orderBy("slice").collect()
+    assert [r.label for r in rows] == brute_labels(songs[0], 10) and len(rows) == 300
+    assert [r.next_onset for r in rows] == [r.slice_onset for r in rows[1:]] + [None]
+    found = G.slice_summary(known)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan and "lead(" not in plan
+    expected = G.slice_summary(G.label_slices(segs, 10)).orderBy("label").collect()
+    assert found.orderBy("label").collect() == expected
+    # slices are no side of a join: blocks are joined first and opened after
+    top = known._jdf.queryExecution().optimizedPlan().toString()
+    assert top.index("Generate explode(sequence((_block") < top.index("Join LeftOuter")
