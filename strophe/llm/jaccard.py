@@ -9,7 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.llm.common import load, row_hash
@@ -429,20 +429,16 @@ PAIRS = "a long, b long, g long, h long, t long, u long, more boolean"
 
 
 def candidate_pairs(sketches: DataFrame, num: int, den: int, quota: int) -> DataFrame:
-    """Pairs (a, b) of one candidate component whose sketches allow the similarity.
+    """Pairs (a, b) of one unit whose sketches allow the similarity.
 
-    ``sketches`` are (root, node, label, n, parity). A component is dealt into blocks by hash and
-    compared block by block; a sketch, not a set, is sent to each block pair. With ``quota`` 0 the
+    ``sketches`` are (root, blocks, node, label, n, parity), root naming the unit. A unit is dealt
+    into blocks by hash and compared block by block; a sketch, not a set, is sent to each block
+    pair. With ``quota`` 0 the
     pairs of a block pair span its trees of close pairs; otherwise they are the ``quota`` closest
     of every two labels g and h. (t, u) names the tree or the labels, ``more`` says that pairs
     were left out there.
     """
-    sizes = sketches.groupBy("root").agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")
-    )
-    dealt = sketches.join(sizes, "root").withColumn(
-        "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    )
+    dealt = sketches.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).select(
@@ -464,7 +460,7 @@ def candidate_pairs(sketches: DataFrame, num: int, den: int, quota: int) -> Data
             if found.num_rows:
                 yield found
 
-    # a run holds two blocks at most, so no task gets a whole component
+    # a run holds two blocks at most, so no task gets a whole unit
     return (
         spread.repartition("root", "i", "j")
         .sortWithinPartitions("root", "i", "j")
@@ -472,30 +468,47 @@ def candidate_pairs(sketches: DataFrame, num: int, den: int, quota: int) -> Data
     )
 
 
-def _checked(
-    docs: DataFrame, known: DataFrame, pairs: DataFrame, width: int, num: int, den: int
-) -> DataFrame:
-    """``pairs`` with ``linked``: whether the sets themselves reach the similarity.
+def _text_key() -> Column:
+    """A hash of id and text of a row, as narrow as a key can be: few texts are asked for by many keys."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("tie"))
+
+
+def _sets_of(docs: DataFrame, known: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(node, n, elements) of each node that occurs in ``pairs``, written; one text of it is read.
 
-    The sets are made from one text of each node that occurs in a pair.
+    Only the texts asked for are shuffled: the others are left out by a hash of id and text first,
+    so small a table that it can mostly be sent to all tasks.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = (
-        known.where("node IS NOT NULL")
+    first = cut_lineage(
+        known.select("node", "doc_id", "tie")
+        .join(ends, "node")
         .groupBy("node")
         .agg(F.min(F.struct("doc_id", "tie")).alias("__first"))
-        .join(ends, "node")
-        .select("node", F.col("__first.doc_id").alias("__id"), F.col("__first.tie").alias("__tie"))
+        .select("node", F.col("__first.doc_id").alias("__id"), F.col("__first.tie").alias("__tie")),
+        "first",
+    )
+    keys = cut_lineage(
+        first.select(F.col("__id").alias("doc_id"), F.col("__tie").alias("tie"))
+        .select(_text_key().alias("__key")),
+        "keys",
     )
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    some = named.withColumn("__key", _text_key()).join(keys, "__key", "left_semi")
     # id and text hash together: rows without an id, or with the same one, don't meet each other
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__own")).join(
-        first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie"))
+    texts = some.join(
+        first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie"))
     )
-    whole = cut_lineage(_sets(texts.select("node", "text"), width), "sets").dropDuplicates(["node"])
-    one = whole.select(
+    found = _sets(texts.select("node", "text"), width).dropDuplicates(["node"])
+    return cut_lineage(found, "sets")
+
+
+def _checked(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` with ``linked``: whether the sets themselves reach the similarity."""
+    one = sets.select(
         F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("x")
     )
-    two = whole.select(
+    two = sets.select(
         F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("y")
     )
     common = F.size(F.array_intersect("x", "y"))
@@ -548,11 +561,17 @@ def _roots(
     links found so far, every two labels offer their closest pairs, sixteen times as many in each
     round, until no pair that could join two labels is left out.
     """
-    todo, quota, roots = sketches.withColumn("label", F.col("node")), 0, None
+    todo, quota, roots, sets = sketches.withColumn("label", F.col("node")), 0, None, None
     while True:
         pairs = cut_lineage(candidate_pairs(todo, num, den, quota), "pairs")
-        checked = cut_lineage(_checked(docs, known, pairs, width, num, den), "checked")
-        roots = cut_lineage(_merged(roots, checked.where("linked").select("a", "b")), "roots")
+        # every node with a close pair is in a pair of the first round: the trees span all of them
+        if sets is None:
+            sets = _sets_of(docs, known, pairs, width)
+        # units that share nodes may offer a pair more than once
+        asked = pairs.select("a", "b").distinct()
+        linked = cut_lineage(_checked(sets, asked, num, den), "linked")
+        checked = pairs.join(linked, ["a", "b"])
+        roots = cut_lineage(_merged(roots, linked.where("linked").select("a", "b")), "roots")
         open_trees = (
             checked.groupBy("t", "u")
             .agg(F.bool_or("more").alias("more"), F.bool_and("linked").alias("all"))
@@ -577,6 +596,54 @@ def _roots(
         quota = 16 * max(quota, 1)
 
 
+def _groups(signed: DataFrame) -> DataFrame:
+    """(group, node) of the nodes that share a signature with another one; like groups are one.
+
+    A group is named by a hash of its nodes. Two groups of one name would only be compared together.
+    """
+    inside = Window.partitionBy("signature").orderBy("node")
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (
+        signed.withColumn("before", F.lag("node").over(inside))
+        .where("before IS NULL OR before <> node")
+        .withColumns(
+            {"members": F.count("*").over(whole), "group": F.bit_xor(F.xxhash64("node")).over(whole)}
+        )
+        .where("members > 1")
+        .select("group", "node")
+        .distinct()
+    )
+
+
+def _units(groups: DataFrame) -> DataFrame:
+    """(root, blocks, node): the nodes that are compared with each other, ``blocks`` of them.
+
+    Groups that share nodes are one unit, compared once, as long as it is one block. Chains of
+    groups grow with the table, in the end into one component of most nodes; of a larger one each
+    group is a unit by itself.
+    """
+    inside = Window.partitionBy("group").orderBy("node")
+    chained = (
+        groups.withColumn("before", F.lag("node").over(inside))
+        .where("before IS NOT NULL")
+        .select(F.col("before").alias("a"), F.col("node").alias("b"))
+        .distinct()
+    )
+    possible = cut_lineage(components(chained), "possible")
+    large = cut_lineage(
+        possible.groupBy("root").agg(F.count("*").alias("members")).where(f"members > {BLOCK}"), "large"
+    )
+    parted = groups.join(possible.join(large, "root", "left_semi").select("node"), "node")
+    sizes = parted.groupBy("group").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+    )
+    return (
+        possible.join(large, "root", "left_anti")
+        .select("root", F.lit(1).alias("blocks"), "node")
+        .unionByName(parted.join(sizes, "group").select(F.col("group").alias("root"), "blocks", "node"))
+    )
+
+
 def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, tie (hash of the text), n_shingles, class, component_id for every row of ``docs``.
 
@@ -587,8 +654,8 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     and is its own component, of no class. Repeated rows and equal sets are linked. Other columns are ignored;
     an empty table gives an empty one.
 
-    Equal sets become one node. Signatures are shuffled once; nodes that share one are chained,
-    which joins all possible partners in one candidate component. Its nodes are compared by
+    Equal sets become one node. Signatures are shuffled once; nodes that share one are possible
+    partners, in units of at most a block or of one signature. Its nodes are compared by
     sketches that can only understate differences, block by block, and pairs that span what is
     left are compared by the sets themselves, for which the texts of these nodes alone are read
     again. No link that joins two components is lost, and a group does not write all of its pairs.
@@ -597,20 +664,12 @@ def classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> D
     if 2 * num <= den:
         raise ValueError("the similarity must exceed one half")
     known = cut_lineage(sketch(docs, width), "sketch")
-    group = Window.partitionBy("signature").orderBy("node")
-    chained = (
-        signatures(docs, width, num, den)
-        .withColumn("before", F.lag("node").over(group))
-        .where("before <> node")
-        .select(F.col("before").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
-    possible = cut_lineage(components(chained), "possible")
+    units = cut_lineage(_units(cut_lineage(_groups(signatures(docs, width, num, den)), "groups")), "units")
     sketches = (
         known.where("parity IS NOT NULL")
         .select("node", F.col("n_shingles").alias("n"), "parity")
-        .join(possible, "node")
         .dropDuplicates(["node"])
+        .join(units, "node")
     )
     roots = _roots(docs, known, sketches, width, num, den)
     named = cut_lineage(
@@ -647,29 +706,31 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     The smallest doc_id stays, a null one only without another; then the smallest text hash and
     a hash of the other columns, of any type, decide. Documents without words all stay.
     """
-    found = cut_lineage(classes(docs, width, num, den), "classes")
-    winner = (
-        found.where("class IS NOT NULL")
-        .groupBy("class")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("w"))
-        .select(F.col("w.doc_id").alias("__id"), F.col("w.tie").alias("__tie"), F.lit(True).alias("__words"))
+    found = cut_lineage(classes(docs, width, num, den), "classes").where("class IS NOT NULL")
+    winner = found.groupBy("class").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("__w")
     )
-    wordless = found.where("class IS NULL").select(
-        F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.lit(False).alias("__words")
+    stays = F.col("doc_id").eqNullSafe(F.col("__w.doc_id")) & (F.col("tie") == F.col("__w.tie"))
+    # what goes is little: the texts that stay aren't shuffled for its sake
+    apart = cut_lineage(
+        found.groupBy("class", "doc_id", "tie")
+        .agg(F.count("*").alias("n"))
+        .join(winner, "class")
+        .select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), stays.alias("stays"), "n")
+        .where("n > 1 OR NOT stays"),
+        "apart",
     )
-    stay = winner.unionByName(wordless).distinct()
     named = docs.withColumn("__own", F.xxhash64("text"))
+    on = named["doc_id"].eqNullSafe(apart["__id"]) & (named["__own"] == apart["__tie"])
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     same = Window.partitionBy("doc_id", "__own").orderBy(row_hash(others))
-    return (
-        named.join(
-            stay,
-            named["doc_id"].eqNullSafe(stay["__id"]) & (named["__own"] == stay["__tie"]),
-        )
+    repeated = (
+        named.join(apart.where("stays"), on, "left_semi")
         .withColumn("__nth", F.row_number().over(same))
-        .where("__nth = 1 OR NOT __words")
-        .select(*docs.columns)
+        .where("__nth = 1")
     )
+    kept = named.join(apart, on, "left_anti")
+    return kept.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
