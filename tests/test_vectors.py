@@ -213,3 +213,22 @@ def test_blocks_grow_with_the_table_up_to_what_a_task_holds(spark):
     assert V.block_size(sized(80_000, 512)) == V.BLOCK_CELLS // 512
     tiles = list(V.distance_tiles(np.zeros((3, 2)), np.zeros((V.TILE_CELLS, 2))))
     assert [len(dist) for _, dist in tiles] == [1, 1, 1]
+
+
+def test_distance_tiles_hold_one_array():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    left, right = rng.normal(size=(300, 5)), rng.normal(size=(V.TILE_CELLS // 100, 5))
+    tracemalloc.start()
+    for start, dist in V.distance_tiles(left, right):
+        plain = np.sqrt(((left[start : start + 2, None] - right[None]) ** 2).sum(axis=2))
+        assert np.allclose(dist[:2], plain, atol=1e-9)
+        del plain
+        tracemalloc.reset_peak()
+    for _, dist in V.distance_tiles(left, right):
+        del dist
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a tile and the one before it: no other array of that size is made
+    assert peak < 8 * V.TILE_CELLS * 2.5
